@@ -57,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.expr(f"{crc32_of_id('doc_id')} % 5 = 0"), F.lit(False))
     model = toxicity.fit(docs, labels.filter(~held_out))
     scored = toxicity.score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out)
-    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_starts").alias("n_spans"))
 
 
 QUERIES = {

@@ -28,11 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.textkernel import Words, encode, shingles
+
 TRAIN_ROWS = 20_000
 FEATURES = 50_000
 LEAST_COUNT = 4
-LEAST_Z = 3.0
-PRIOR = 500.0
+LEAST_Z = 2.4
+#: The prior weighs this part of all counts.
+PRIOR = 0.1
 HIGHEST = 6.0
 NEUTRAL = -0.7
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -79,6 +82,17 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after in found]
 
 
+def least_shingle(texts: pd.Series) -> pd.Series:
+    """The least shingle hash of a text; 0 without words."""
+    words = Words([encode(t) for t in texts])
+    h, text, _ = shingles(words)
+    out = np.zeros(len(texts), np.uint64)
+    if len(h):
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        out[text[first]] = np.minimum.reduceat(h, first)
+    return pd.Series(out.astype(np.int64))
+
+
 @dataclass
 class Model:
     """Token scores and their calibration."""
@@ -117,19 +131,19 @@ class Model:
             return self.floor
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.bias + self.weight * evidence))))
 
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Probability, and the significant segments with their margins."""
         n, segments, _ = self.scan(text)
-        found = [{"start_token": a, "end_token": b, "margin": self.margin(n, s)} for a, b, s in segments if self.margin(n, s) > 0]
-        return self.probability(self.evidence(n, segments)), found
+        return self.probability(self.evidence(n, segments)), [(a, b, m) for a, b, s in segments if (m := self.margin(n, s)) > 0]
 
 
 def _log_odds(counts: pd.DataFrame, n1: float, n0: float) -> dict[str, float]:
     """Log-odds of each feature with a Dirichlet prior in proportion to its frequency in both classes; weak ones are left out."""
     total = n1 + n0
     y1, y0 = counts["toxic"].to_numpy(float), counts["other"].to_numpy(float)
-    a = PRIOR * (y1 + y0) / total
-    d = np.log((y1 + a) / (n1 + PRIOR - y1 - a)) - np.log((y0 + a) / (n0 + PRIOR - y0 - a))
+    weight = PRIOR * total
+    a = weight * (y1 + y0) / total
+    d = np.log((y1 + a) / (n1 + weight - y1 - a)) - np.log((y0 + a) / (n0 + weight - y0 - a))
     z = d / np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
     return {f: float(min(HIGHEST, max(-HIGHEST, s))) for f, s, k in zip(counts["feature"], d, z, strict=True) if abs(k) >= LEAST_Z}
 
@@ -168,6 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
     marked = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     sample = F.broadcast(marked.sort(F.xxhash64(F.lit(10), "id"), "id").limit(rows))  # at most `rows` ids and labels
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "y")
+    # Copies would make every word of theirs look telling: of texts with an equal least shingle one stays.
+    known = known.withColumn("least", F.pandas_udf(least_shingle, "long")(F.col("text"))).dropDuplicates(["least"]).select("text", "y")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -215,18 +231,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
 
 
 def score(docs: DataFrame, model: Model, *, text_col="text", keep=None) -> DataFrame:
-    """The columns `keep` of docs (all by default) with toxicity and toxic_spans.
-
-    toxic_spans: start and end token and the margin of each significant segment.
-    """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("toxicity", "toxic_spans")]
-    schema = "toxicity double, toxic_spans array<struct<start_token:int,end_token:int,margin:double>>"
+    """The columns `keep` of docs (all by default) with toxicity and, of each significant segment, its first token
+    (toxic_starts), the token after its last (toxic_ends) and its margin (toxic_margins)."""
+    own = ["toxicity", "toxic_starts", "toxic_ends", "toxic_margins"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     model.memo.clear()
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("toxicity double, toxic_starts array<int>, toxic_ends array<int>, toxic_margins array<double>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([model.score(t if isinstance(t, str) else None) for t in batch], columns=["toxicity", "toxic_spans"])
+            rows = []
+            for t in batch:
+                p, spans = model.score(t if isinstance(t, str) else None)
+                rows.append((p, *([x[k] for x in spans] for k in range(3))))
+            yield pd.DataFrame(rows, columns=own)
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), run(F.col(text_col)).alias("own"))
     return packed.select("row.*", "own.*")
