@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import language, licenses, mixing, quality, sharding, tokenstore, toxicity
+from llm import language, licenses, mixing, ngram_join, quality, sharding, tokenstore, toxicity
 from llm.session import crc32_of_id, read
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 75 % of their 5-word shingles."""
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose id's checksum isn't 2 modulo 4."""
     docs = read(spark, sf_dir, "documents")
@@ -61,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
