@@ -18,9 +18,11 @@ null ids come first; an empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from llm.ordering import running
 from llm.session import partitions, work_path
-from llm.textkernel import mix
+from llm.textkernel import blocks, mix
 
 END_ID = 2
 CHUNK_BITS = 8
 MOST = 4096
+BLOCK = 1_000_000
 _ADDRESS = 16
 
 
@@ -60,6 +63,7 @@ class Encoder:
     REMEMBERED = 400_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,28 +73,32 @@ class Encoder:
         self.kind = np.dtype("<u4" if self.wide else "<u2")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "I" if self.wide else "H"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
-        out: list[bytes | None] = [None] * len(texts)
-        pieces = {}
-        for i, t in enumerate(texts):
-            if not self.odd.search(t):
-                pieces[i] = self.split.findall(t)
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        new = list({p for ps in pieces.values() for p in ps if p not in self.known})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        whole = [i for i in range(len(texts)) if i not in pieces]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        get, plain, whole, new = self.known.get, {}, [], set()
+        for i, t in enumerate(texts):
+            if self.odd.search(t):
+                whole.append(i)
+                continue
+            pieces = self.split.findall(t)
+            ids = list(map(get, pieces))
+            if None in ids:
+                new.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+                plain[i] = pieces
+            else:
+                plain[i] = b"".join(ids)
+        fresh = list(new)
+        self.known.update(zip(fresh, self._ids(fresh), strict=True))
+        out = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
         get = self.known.__getitem__
-        for i, ps in pieces.items():
-            out[i] = b"".join(map(get, ps))
-        return out  # type: ignore[return-value]
+        for i, x in plain.items():
+            out[i] = x if isinstance(x, bytes) else b"".join(map(get, x))
+        return [out[i] for i in range(len(texts))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -133,12 +141,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", text_c
     """Encode every text and write the store. Chunks and recipes travel in one shuffle; a chunk's copies meet there."""
     parts = "kind string, key binary, doc_id long, n_tokens long, body binary"
 
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
+        for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            ids = batch["id"].tolist()
+            for part in blocks(map(len, texts), BLOCK):
+                yield ids[part], texts[part]
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
         sent: set[bytes] = set()
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+        for batch, texts in pieces(batches):
             distinct = list(dict.fromkeys(texts))
             recipes, rows = {}, []
             for t, body in zip(distinct, enc.encode(distinct), strict=True):
@@ -155,7 +169,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", text_c
                         rows.append(("chunk", name, None, stop - begin, chunk))
                     begin = stop
                 recipes[t] = (len(ids), b"".join(names))
-            for d, t in zip(batch["id"], texts, strict=True):
+            for d, t in zip(batch, texts, strict=True):
                 n, body = recipes[t]
                 d = None if pd.isna(d) else int(d)
                 rows.append(("recipe", address(str(d).encode()), d, n, body))
