@@ -26,7 +26,7 @@ SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 
 
 class Text:
@@ -120,10 +120,10 @@ def plan(texts: list[str | None]) -> Cascade:
 
 
 def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", rows: int = SAMPLE_ROWS) -> Cascade:
-    """Estimate on at most `rows` texts, the least by a hash of the id; they are read where they lie, in one task."""
-    least = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.lit(4), F.col(id_col)).alias("h")).filter(F.length("text") < 100_000)
-    sample = [r["text"] for r in least.sort("h").limit(rows).select("text").collect()] if rows else []
-    return plan(sample)
+    """Estimate on at most `rows` texts, the least by a hash of the id. Only ids are ranked; the texts of those follow."""
+    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.lit(4), F.col(id_col)).alias("h")).sort("h", "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+    return plan([r["text"] for r in texts.select("text").limit(rows).collect()])
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
