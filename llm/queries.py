@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import language, licenses, mixing, ngram_join, quality, sharding, tokenstore, toxicity
+from llm import language, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, tokenstore, toxicity
 from llm.session import crc32_of_id, read
 
 
@@ -47,6 +47,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that start in an earlier one."""
+    rows = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, stored by content, and read back."""
     import public_tokenizers
@@ -72,6 +78,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op7_sharding": op7_sharding,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_store": op9_token_store,
     "op10_toxicity": op10_toxicity,
 }
