@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import language, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, tokenstore, toxicity
+from llm import decontamination, language, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, tokenstore, toxicity
 from llm.session import crc32_of_id, read
 
 
@@ -41,6 +41,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards along a Hilbert curve over size, source and language."""
     rows = sharding.assign(read(spark, sf_dir, "documents"), 8)
@@ -77,6 +82,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_store": op9_token_store,
