@@ -35,6 +35,11 @@ BLOCK = 1_500_000
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+def folded(text: str | None) -> bytes:
+    """Bytes of a text in lower case, letters beyond ASCII too."""
+    return encode(text.lower()) if isinstance(text, str) else b""
+
+
 def _runs(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` word hashes."""
     n = len(words) - width + 1
@@ -82,7 +87,7 @@ class Index:
         self.threshold = threshold
         by_size = defaultdict(list)
         for ident, text in items:
-            h = Words([encode(text).lower()]).hash
+            h = Words([folded(text)]).hash
             if len(h):
                 by_size[len(h)].append((ident, _runs(h, min(len(h), WIDTH))))
         self.sizes = [Index.Size(m, v) for m, v in sorted(by_size.items())]
@@ -156,7 +161,7 @@ def _hits(index: Index, item_type: str):
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
-            raw = [encode(t if isinstance(t, str) else None).lower() for t in batch]
+            raw = [folded(t) for t in batch]
             for part in blocks([len(t) + 1 for t in raw], BLOCK):
                 words = Words(raw[part])
                 for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
