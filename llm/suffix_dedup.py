@@ -216,38 +216,46 @@ def suffix_array(rows: np.ndarray, length: np.ndarray, width: int) -> np.ndarray
     padded[:, :wide] = rows
     word = np.zeros((m, wide), np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | padded[:, k : k + wide]
+        word <<= np.uint64(8)
+        word |= padded[:, k : k + wide]
     alive = (np.arange(wide)[None, :] < length[:, None]).ravel()
-    place = np.flatnonzero(alive)
-    # Shorter suffixes than eight bytes end in zeros, as a longer one may; what is left tells them apart.
-    left = np.minimum(8, (length[:, None] - np.arange(wide)[None, :]).ravel()[place]).astype(np.uint64)
+    place = np.flatnonzero(alive).astype(np.int32)
     value = word.ravel()[place]
-    order = np.lexsort((left, value)) if (rows == 0).any() else np.argsort(value, kind="stable")
-    place, value, left = place[order], value[order], left[order]
-    rank = np.zeros(m * wide, np.int64)  # 0: beyond the end
-    starts = np.ones(len(place), bool)
-    starts[1:] = (value[1:] != value[:-1]) | (left[1:] != left[:-1])
+    if (rows.ravel()[place] == 0).any():
+        # A zero byte looks like the padding of a shorter suffix; what is left of each tells them apart.
+        left = np.minimum(8, (length[:, None] - np.arange(wide)[None, :]).ravel()[place])
+        order = np.lexsort((left, value))
+        value, left = value[order], left[order]
+        starts = np.concatenate(([True], (value[1:] != value[:-1]) | (left[1:] != left[:-1])))
+    else:
+        order = np.argsort(value)
+        value = value[order]
+        starts = np.concatenate(([True], value[1:] != value[:-1]))
+    place = place[order]
+    rank = np.zeros(m * wide + 1, np.int32)  # 0: beyond the end
     head = np.flatnonzero(starts)
     size = np.diff(np.append(head, len(place)))
-    rank[place] = np.repeat(head, size) + 1
+    rank[place] = np.repeat(head + 1, size)
+    open_ = np.flatnonzero(np.repeat(size > 1, size))
+    beyond = np.int32(m * wide)
     depth = 8
-    open_ = np.flatnonzero(np.repeat(size, size) > 1)
     while depth < wide and len(open_):
         who = place[open_]
-        column = who % wide + depth
-        follow = np.where(column < wide, rank[np.minimum(who + depth, m * wide - 1)], 0)
-        group = rank[who]
-        o = np.lexsort((who, follow, group))
-        who, follow, group = who[o], follow[o], group[o]
+        follow = rank[np.where(who % wide + depth < wide, who + depth, beyond)]
+        key = (rank[who].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
+        o = np.argsort(key)
+        who, key = who[o], key[o]
         place[open_] = who
-        starts = np.ones(len(who), bool)
-        starts[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+        starts = np.concatenate(([True], key[1:] != key[:-1]))
         head = np.flatnonzero(starts)
         size = np.diff(np.append(head, len(who)))
-        rank[who] = np.repeat(open_[head], size) + 1
-        open_ = open_[np.repeat(size, size) > 1]
+        rank[who] = np.repeat(open_[head] + 1, size)
+        open_ = open_[np.repeat(size > 1, size)]
         depth *= 2
-    return place[place % wide <= (length - width)[place // wide]]
+    if len(open_):  # equal to their ends: in row order
+        who = place[open_]
+        place[open_] = who[np.argsort((rank[who].astype(np.uint64) << np.uint64(32)) | who.astype(np.uint64))]
+    return place[place % wide <= (length - width)[place // wide]].astype(np.int64)
 
 
 def common_prefixes(rows: np.ndarray, length: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
@@ -283,6 +291,20 @@ def common_prefixes(rows: np.ndarray, length: np.ndarray, order: np.ndarray, wid
     return out[order]
 
 
+def _sieve(rows: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """Which rows have a window whose hash another window of the shard has too; the others have no equal window."""
+    wide = rows.shape[1]
+    h = strings(rows.ravel(), width)
+    place = np.flatnonzero(np.arange(len(h)) % wide <= np.repeat(length - width, wide)[: len(h)])
+    order = np.argsort(h[place])
+    h = h[place][order]
+    equal = h[1:] == h[:-1]
+    twice = np.concatenate((equal, [False])) | np.concatenate(([False], equal))
+    keep = np.zeros(len(rows), bool)
+    keep[place[order[twice]] // wide] = True
+    return keep
+
+
 def covered(rows: np.ndarray, length: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column) of windows that a smaller document has too, and the sorted places of all windows."""
     order = suffix_array(rows, length, width)
@@ -324,6 +346,8 @@ def _shards(segments: DataFrame, width: int) -> DataFrame:
             wide = int(length.max())
             rows = np.frombuffer(b"".join(b.ljust(wide, b"\0") for b in bodies), np.uint8).reshape(-1, wide)
             key, doc, at = (part[c].to_numpy(np.int64) for c in ("key", "doc", "at"))
+            keep = _sieve(rows, length, width) | (key == key[0]) | (key == key[-1])
+            rows, length, key, doc, at = rows[keep], length[keep], key[keep], doc[keep], at[keep]
             r, c, order = covered(rows, length, doc, width)
             found = [(doc[r], at[r] + c)]
             if carried is not None and carried[0] == key[0]:
