@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = 8_000_000
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -18,6 +19,8 @@ def ready(spark: SparkSession) -> None:
     paths = [p for p in (env.get("PYTHONPATH", "") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    # Rows of very different length: what a Python worker gets at once is bounded in bytes, too.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
