@@ -208,17 +208,17 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-BLOCK = 4096
+LEAVES = 4096
 
 
 def manifest(leaves: DataFrame) -> DataFrame:
-    """Hash-tree roots over blocks of `BLOCK` recipes in order: block, n, root."""
+    """Hash-tree roots over blocks of `LEAVES` recipes in order: block, n, root."""
 
     def root(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("position")
         return pd.DataFrame({"block": [int(group["block"].iloc[0])], "n": [len(group)], "root": [merkle_root([bytes.fromhex(x) for x in group["leaf"]])]})
 
-    return leaves.withColumn("block", F.expr(f"position div {BLOCK}")).groupBy("block").applyInPandas(root, "block long, n long, root binary")
+    return leaves.withColumn("block", F.expr(f"position div {LEAVES}")).groupBy("block").applyInPandas(root, "block long, n long, root binary")
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
