@@ -126,7 +126,7 @@ def _verdicts(texts: DataFrame, width: int) -> DataFrame:
                 o = np.argsort(b, kind="stable")
                 b, m, d = b[o], m[o], d[o]
                 first = np.flatnonzero(np.diff(b, prepend=-1))
-                for x, y in zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
+                for x, y in zip(first.tolist(), np.append(first[1:], len(b)).tolist(), strict=False):
                     row = rows.setdefault(int(b[x]), {"bucket": int(b[x]), "keys": b"", "marks": b"", "docs": b"", "lost_marks": b"", "lost_docs": b""})
                     row[name + "marks"] = np.ascontiguousarray(m[x:y].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                     row[name + "docs"] = _pack(d[x:y])
