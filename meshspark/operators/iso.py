@@ -114,7 +114,7 @@ def marching_cubes(corners: DataFrame, iso: float) -> DataFrame:
     found = cells.join(F.broadcast(table), "m")  # a few rows for each of 256 cases
     crossing = []
     for p, q in EDGES:
-        t = (iso - F.col(f"c{p}")) / (F.col(f"c{q}") - F.col(f"c{p}"))
+        t = F.try_divide(iso - F.col(f"c{p}"), F.col(f"c{q}") - F.col(f"c{p}"))  # null on edges that aren't crossed
         step = [(q >> a & 1) - (p >> a & 1) for a in range(3)]
         place = [F.col(c) + float(p >> a & 1) + (t if step[a] else 0.0) for a, c in enumerate("xyz")]
         low = [F.col(c) + (p >> a & 1) for a, c in enumerate("xyz")]
