@@ -4,9 +4,9 @@ A document is the set of its distinct word shingles; two documents link when int
 Equal sets are one set with several documents. The steps:
 
 1. One pass gives each document its set's size and fingerprint, and counts all shingles in a sketch of fixed width.
-2. Shingles are ordered from rare to frequent by the sketch. Two sets that link share a shingle among the first
-   n - ceil(t n) + 1 of each, so only those are dealt out to find the shingles that several sets share; sets that share
-   none can't link with any other.
+2. Shingles are ordered from rare to frequent by the sketch. Two sets that link have their first k common shingles among
+   the first n - ceil(t n) + k of each. With k a sixteenth of the size, only those are dealt out to find the shingles that
+   several sets share; a set that shares too few of them can't link with any other and is left.
 3. Similar sets are put into groups: by the shared shingle that most sets hold, cut so that a group has a bounded number of
    members and shingles.
 4. The token-group matrix (shingle, group) gives the pairs of groups that share a leading shingle and whose ranges of
@@ -43,7 +43,6 @@ GROUP_SETS = 128
 GROUP_TOKENS = 100_000
 BLOCK = 1_900_000
 FLUSH = 24_000_000
-_LOW56 = np.uint64((1 << 56) - 1)
 
 
 def text_sets(texts: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -66,9 +65,14 @@ def _prepared(batch: pd.DataFrame) -> Iterator[tuple[slice, list[bytes]]]:
         yield part, raw[part]
 
 
-def leading(n: int, num: int, den: int) -> int:
-    """How many of n ordered shingles must be looked at: n - ceil(n num / den) + 1."""
-    return n - -(-n * num // den) + 1 if n else 0
+def leading(n: int, num: int, den: int, common: int = 1) -> int:
+    """Among how many of n ordered shingles the first `common` ones of any link lie: n - ceil(n num / den) + common."""
+    return min(n, n - -(-n * num // den) + common)
+
+
+def common(n: int) -> int:
+    """How many common shingles the dealt part of a set of n is long enough for. Never falls with n."""
+    return max(1, n // 16)
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -109,8 +113,11 @@ def _survey(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _shared(docs: DataFrame, levels: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """(tok, sid, c): the leading shingles that c sets hold, two or more, with those sets."""
+    """(sid, tok, c, shared): for each set and task, how many of its dealt shingles other sets have too, and, one a row, those
+    of them that come first enough to be the first of a link, with the number of sets that have it."""
     bits = max(4, (2 * partitions(docs.sparkSession) - 1).bit_length())
+    first_of_link = np.uint64(1 << 55)
+    low = np.uint64((1 << 55) - 1)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toks, sids, size = [], [], 0
@@ -133,12 +140,12 @@ def _shared(docs: DataFrame, levels: np.ndarray, width: int, num: int, den: int)
                     n = len(sets[i])
                     if n:
                         tok = sets[i] >> np.uint64(8)
-                        key = (levels[tok.astype(np.int64) & (len(levels) - 1)].astype(np.uint64) << np.uint64(56)) | tok
-                        p = leading(n, num, den)
-                        if p < n:
-                            key = np.partition(key, p - 1)[:p]
-                        toks.append(key & _LOW56)
-                        sids.append(np.full(len(key), sid[i]))
+                        key = (levels[tok.astype(np.int64) & (len(levels) - 1)].astype(np.uint64) << np.uint64(56)) | (tok & low)
+                        one, most = leading(n, num, den), leading(n, num, den, common(n))
+                        key = np.partition(key, [one - 1, most - 1])[:most] & low
+                        key[:one] |= first_of_link
+                        toks.append(key)
+                        sids.append(np.full(most, sid[i]))
                 size += sum(map(len, raw))
                 if size > FLUSH and toks:
                     yield out()
@@ -152,28 +159,37 @@ def _shared(docs: DataFrame, levels: np.ndarray, width: int, num: int, den: int)
         tok[:, :7] = seven
         tok = tok.view(np.uint64).ravel()
         sid = np.frombuffer(b"".join(group["sids"]), np.uint64)
-        order = np.argsort(tok, kind="stable")
+        order = np.argsort(tok & low, kind="stable")
         tok, sid = tok[order], sid[order]
-        count = np.diff(np.append(np.flatnonzero(np.diff(tok, prepend=tok[0] + np.uint64(1))), len(tok)))
+        start = np.flatnonzero(np.diff(tok & low, prepend=(tok[0] & low) + np.uint64(1)))
+        count = np.diff(np.append(start, len(tok)))
         many = np.repeat(count > 1, count)
         tok, sid = tok[many], sid[many]
+        lead, tok = (tok & first_of_link) > 0, tok & low
         order = np.lexsort((sid, tok))
-        tok, sid = tok[order], sid[order]
+        tok, sid, lead = tok[order], sid[order], lead[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])
-        tok, sid = tok[new], sid[new]
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(tok)), bool), tok[1:] != tok[:-1])))
-        count = np.diff(np.append(first, len(tok)))
+        tok, sid, lead = tok[new], sid[new], lead[new]
+        start = np.flatnonzero(np.concatenate((np.ones(min(1, len(tok)), bool), tok[1:] != tok[:-1])))
+        count = np.diff(np.append(start, len(tok)))
         c = np.repeat(count, count)
         keep = c > 1
-        return pd.DataFrame({"tok": tok[keep].astype(np.int64), "sid": sid[keep].astype(np.int64), "c": c[keep].astype(np.int64)})
+        tok, sid, lead, c = tok[keep], sid[keep], lead[keep], c[keep]
+        each, shared = np.unique(sid, return_counts=True)
+        return pd.DataFrame({
+            "sid": np.concatenate((sid[lead], each)).astype(np.int64),
+            "tok": np.concatenate((tok[lead].astype(np.int64), np.zeros(len(each), np.int64))),
+            "c": np.concatenate((c[lead], np.zeros(len(each), np.int64))),
+            "shared": np.concatenate((np.zeros(int(lead.sum()), np.int64), shared)),
+        })
 
     dealt = docs.mapInPandas(deal, "bucket int, toks binary, sids binary")
-    return work_table(dealt.groupBy("bucket").applyInPandas(meet, "tok long, sid long, c long"), "shared")
+    return work_table(dealt.groupBy("bucket").applyInPandas(meet, "sid long, tok long, c long, shared long"), "shared")
 
 
 def _open_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, n, body) of the wanted sets: their sorted shingles as bytes.
+    """(sid, body) of the wanted sets: their sorted shingles as bytes.
 
     A filter of fixed size over the fingerprints keeps most other sets from being dealt out; the join then is exact.
     """
@@ -192,8 +208,8 @@ def _open_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 new = [i for i in np.unique(sid, return_index=True)[1] if hit[i] and len(sets[i])]
                 yield pd.DataFrame({"sid": sid[new].astype(np.int64), "n": [len(sets[i]) for i in new], "body": [sets[i].tobytes() for i in new]})
 
-    found = docs.mapInPandas(run, "sid long, n long, body binary")
-    return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("body").alias("body"))
+    found = docs.mapInPandas(run, "sid long, n long, body binary").select("sid", "body")
+    return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("body").alias("body"))
 
 
 # ---------------------------------------------------------------- groups
@@ -315,23 +331,27 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 5, t
     num, den = threshold
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members, levels = _survey(texts, width)
-    sets = members.filter("sid != 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    sets = members.filter("sid != 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("n").alias("n"))
     shared = _shared(texts, levels, width, num, den)
-    keys = shared.groupBy("sid").agg(F.max(F.struct("c", "tok")).alias("k")).select("sid", F.col("k.tok").alias("key"))
-    bodies = work_table(_open_sets(texts, keys.select("sid"), width), "sets")
+    # A partner is at least n num / den in size, so its dealt part is long enough for so many common shingles.
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) / 16))
+    keys = shared.groupBy("sid").agg(F.max(F.struct("c", "tok")).alias("k"), F.sum("shared").alias("shared"))
+    keys = keys.join(sets.select("sid", "n"), "sid").filter(F.col("shared") >= least).select("sid", "n", F.col("k.tok").alias("key"))
 
-    sized = bodies.select("sid", "n").join(keys, "sid")
-    cut = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n") / GROUP_TOKENS)).alias("parts"))
-    grouped = sized.join(cut, "key").select("sid", "n", F.xxhash64("key", F.pmod(F.xxhash64("sid"), "parts")).alias("g"))
+    cut = keys.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    grouped = keys.join(cut, "key").select("sid", "n", F.xxhash64("key", F.pmod(F.xxhash64("sid"), "parts")).alias("g"))
     grouped = work_table(grouped, "groups")
     ranges = grouped.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = shared.select("tok", "sid").join(grouped.select("sid", "g"), "sid").select("tok", "g").distinct().join(ranges, "g")
+    matrix = shared.filter("c > 0").select("tok", "sid").join(grouped.select("sid", "g"), "sid").select("tok", "g").distinct().join(ranges, "g")
     one, two = matrix.alias("x"), matrix.alias("y")
     near = one.join(two, F.expr(f"x.tok = y.tok and x.g < y.g and {den} * x.high >= {num} * y.low and {den} * y.high >= {num} * x.low"))
-    near = near.select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2")).distinct()
+    near = work_table(near.select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2")).distinct(), "pairs")
     alone = grouped.groupBy("g").count().filter("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
 
-    full = bodies.join(grouped.select("sid", "g"), "sid").join(sets.select("sid", "copies"), "sid")
+    # Groups that meet no other and have one member have nothing to compare.
+    met = near.select(F.explode(F.array("g1", "g2")).alias("g")).union(alone.select("g1")).distinct()
+    wanted = grouped.join(met, "g", "left_semi").select("sid", "g")
+    full = _open_sets(texts, wanted.select("sid"), width).join(wanted, "sid").join(sets.select("sid", "copies"), "sid")
     full = work_table(full.groupBy("g").agg(F.collect_list(F.struct("sid", "copies", "body")).alias("m")), "members")
     pairs = near.union(alone).join(full.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1").join(full.select(F.col("g").alias("g2"), F.col("m").alias("m2")), "g2")
     found = work_table(_link(pairs.select((F.col("g1") == F.col("g2")).alias("same"), "m1", "m2"), num, den), "links")
