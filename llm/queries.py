@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontamination, language, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, tokenstore, toxicity
+from llm.oracles import ORACLES  # noqa: F401
 from llm.session import crc32_of_id, read
 
 
@@ -88,4 +89,4 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+
