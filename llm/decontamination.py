@@ -49,6 +49,14 @@ def _runs(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
+def _runs_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the run of WIDTH word hashes at each place."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(WIDTH):
+        out += words[at + j] * _PLACES[j]
+    return mix(out + np.uint64(WIDTH))
+
+
 def _signs(hashes: np.ndarray) -> np.ndarray:
     return (((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1
 
@@ -102,9 +110,7 @@ class Index:
         """(item, similarity, first word, words) of every item that a text has a window for, the best window of each."""
         out = []
         runs = _runs(words, WIDTH)
-        maybe = np.flatnonzero(self.sieve[(runs >> np.uint64(44)).astype(np.int64)]) if len(runs) else np.zeros(0, np.int64)
-        if len(maybe):
-            maybe = maybe[np.isin(runs[maybe], self.any)]
+        maybe = np.flatnonzero(np.isin(runs, self.any))
         if len(maybe):
             for s in self.long:
                 out += self._windows(s, runs, maybe[np.isin(runs[maybe], s.known)])
@@ -113,6 +119,15 @@ class Index:
             out += self._windows(s, own, np.flatnonzero(np.isin(own, s.known)))
         return out
 
+    def likely(self, words: Words) -> np.ndarray:
+        """The texts of a batch with a run of words that an item has; the others have no hits."""
+        if self.short:
+            return np.flatnonzero(words.count)
+        at = np.flatnonzero(self.sieve[(_runs(words.hash, WIDTH) >> np.uint64(44)).astype(np.int64)])
+        at = at[np.isin(_runs_at(words.hash, at), self.any)]
+        at = at[words.text[at] == words.text[at + WIDTH - 1]]
+        return np.unique(words.text[at])
+
     def _windows(self, s: Index.Size, runs: np.ndarray, at: np.ndarray) -> list[tuple[object, float, int, int]]:
         span = s.words - s.width + 1
         if len(runs) < span or not len(at):
@@ -164,12 +179,14 @@ def _hits(index: Index, item_type: str):
             raw = [folded(t) for t in batch]
             for part in blocks([len(t) + 1 for t in raw], BLOCK):
                 words = Words(raw[part])
-                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    hits = index.hits(words.hash[a:b]) if b > a else []
-                    rows.append(tuple([h[k] for h in hits] for k in range(4)))
+                found = [((), (), (), ())] * len(words.count)
+                for i in index.likely(words).tolist():
+                    hits = index.hits(words.hash[words.first[i] : words.first[i + 1]])
+                    found[i] = tuple([h[k] for h in hits] for k in range(4))
+                rows += found
             yield pd.DataFrame(rows[: len(batch)], columns=["items", "similarities", "starts", "sizes"])
 
-    return run
+    return run.asNondeterministic()  # a filter on its result must not run it again
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", threshold: float = 0.75) -> DataFrame:
