@@ -107,7 +107,7 @@ def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", p
     ids = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), "id"), "id"))
     sample = ids.withColumn("n", first).filter(F.col("n") <= per_language).select("id").distinct()
-    texts = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(sample, "id", "left_semi")
+    texts = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample) if sample.count() <= 1_000_000 else sample, "id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,5 +134,5 @@ def identify(docs: DataFrame, profiles: Profiles, *, text_col="text", keep=None)
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), predict(F.col(text_col)).alias("own"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), predict.asNondeterministic()(F.col(text_col)).alias("own"))  # a filter on its result must not run it again
     return packed.select("row.*", "own.*")
