@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.session import partitions, work_table
-from llm.textkernel import Words, blocks, encode, mix, shingles
+from llm.textkernel import Words, blocks, encode, mix, shingles, thrifty
 
 SKETCH_BITS = 20
 SLICE = 1 << 16
 FILTER_BITS = 23
 GROUP_SETS = 128
 GROUP_TOKENS = 100_000
-BLOCK = 1_900_000
-FLUSH = 24_000_000
+BLOCK = 1_000_000
+FLUSH = 12_000_000
 
 
 def text_sets(texts: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -103,7 +103,7 @@ def _survey(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             level = np.minimum(255, 4 * np.log2(counts + 1.0)).astype(np.uint8)
             yield pd.DataFrame({"slice": [k], "body": [level.tobytes()]})
 
-    rows = docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, sid long, slice int, body binary")
+    rows = docs.mapInPandas(thrifty(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, sid long, slice int, body binary")
     rows = work_table(rows, "survey")
     sketch = rows.filter("slice >= 0").select("slice", "body").repartition((1 << SKETCH_BITS) // SLICE, "slice").mapInPandas(add, "slice int, body binary")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -184,7 +184,7 @@ def _shared(docs: DataFrame, levels: np.ndarray, width: int, num: int, den: int)
             "shared": np.concatenate((np.zeros(int(lead.sum()), np.int64), shared)),
         })
 
-    dealt = docs.mapInPandas(deal, "bucket int, toks binary, sids binary")
+    dealt = docs.mapInPandas(thrifty(deal), "bucket int, toks binary, sids binary")
     return work_table(dealt.groupBy("bucket").applyInPandas(meet, "sid long, tok long, c long, shared long"), "shared")
 
 
@@ -208,7 +208,7 @@ def _open_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 new = [i for i in np.unique(sid, return_index=True)[1] if hit[i] and len(sets[i])]
                 yield pd.DataFrame({"sid": sid[new].astype(np.int64), "n": [len(sets[i]) for i in new], "body": [sets[i].tobytes() for i in new]})
 
-    found = docs.mapInPandas(run, "sid long, n long, body binary").select("sid", "body")
+    found = docs.mapInPandas(thrifty(run), "sid long, n long, body binary").select("sid", "body")
     return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("body").alias("body"))
 
 
@@ -299,7 +299,7 @@ def _link(pairs: DataFrame, num: int, den: int) -> DataFrame:
                     has = links > 0
                     yield pd.DataFrame({"sid": sid[has], "root": root[has], "links": links[has]})
 
-    return pairs.mapInPandas(run, "sid long, root long, links long")
+    return pairs.mapInPandas(thrifty(run), "sid long, root long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BYTES = 8_000_000
+ARROW_BYTES = 4_000_000
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
