@@ -206,9 +206,10 @@ def _open_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 at = sid.astype(np.int64) & ((1 << FILTER_BITS) - 1)
                 hit = ((mask[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                 new = [i for i in np.unique(sid, return_index=True)[1] if hit[i] and len(sets[i])]
-                yield pd.DataFrame({"sid": sid[new].astype(np.int64), "n": [len(sets[i]) for i in new], "body": [sets[i].tobytes() for i in new]})
+                if new:
+                    yield pd.DataFrame({"sid": sid[new].astype(np.int64), "body": [sets[i].tobytes() for i in new]})
 
-    found = docs.mapInPandas(thrifty(run), "sid long, n long, body binary").select("sid", "body")
+    found = docs.mapInPandas(thrifty(run), "sid long, body binary")
     return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("body").alias("body"))
 
 

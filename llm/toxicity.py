@@ -192,6 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
                 # Once a document: a document is the unit of evidence, and a few long ones must not carry a feature.
                 sums[int(y)].update({f for t in set(tokens(text)) for f in features(t)})
         for y, c in sums.items():
+            if not c:
+                continue
             yield pd.DataFrame({"feature": list(c.keys()), "y": y, "n": list(c.values())})
 
     counts = known.mapInPandas(count, "feature string, y int, n long").groupBy("feature").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("toxic"), F.sum(F.expr("if(y = 0, n, 0)")).alias("other"))
