@@ -342,20 +342,28 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 5, t
     cut = keys.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n") / GROUP_TOKENS)).alias("parts"))
     grouped = keys.join(cut, "key").select("sid", "n", F.xxhash64("key", F.pmod(F.xxhash64("sid"), "parts")).alias("g"))
     grouped = work_table(grouped, "groups")
-    ranges = grouped.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ranges = grouped.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("w"))
     matrix = shared.filter("c > 0").select("tok", "sid").join(grouped.select("sid", "g"), "sid").select("tok", "g").distinct().join(ranges, "g")
     one, two = matrix.alias("x"), matrix.alias("y")
-    near = one.join(two, F.expr(f"x.tok = y.tok and x.g < y.g and {den} * x.high >= {num} * y.low and {den} * y.high >= {num} * x.low"))
-    near = work_table(near.select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2")).distinct(), "pairs")
-    alone = grouped.groupBy("g").count().filter("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
+    # The group of fewer shingles is the one that travels.
+    near = one.join(two, F.expr(f"x.tok = y.tok and (x.w, x.g) < (y.w, y.g) and {den} * x.high >= {num} * y.low and {den} * y.high >= {num} * x.low"))
+    near = work_table(near.select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2"), F.col("x.w").alias("w1")).distinct(), "pairs")
+    alone = grouped.groupBy("g").count().filter("count > 1").select("g")
 
     # Groups that meet no other and have one member have nothing to compare.
-    met = near.select(F.explode(F.array("g1", "g2")).alias("g")).union(alone.select("g1")).distinct()
+    met = near.select(F.explode(F.array("g1", "g2")).alias("g")).union(alone).distinct()
     wanted = grouped.join(met, "g", "left_semi").select("sid", "g")
     full = _open_sets(texts, wanted.select("sid"), width).join(wanted, "sid").join(sets.select("sid", "copies"), "sid")
     full = work_table(full.groupBy("g").agg(F.collect_list(F.struct("sid", "copies", "body")).alias("m")), "members")
-    pairs = near.union(alone).join(full.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1").join(full.select(F.col("g").alias("g2"), F.col("m").alias("m2")), "g2")
-    found = work_table(_link(pairs.select((F.col("g1") == F.col("g2")).alias("same"), "m1", "m2"), num, den), "links")
+
+    # All groups that travel to one are compared together, in parts of bounded size.
+    parts = near.groupBy("g2").agg(F.ceil(F.sum("w1") / GROUP_TOKENS).alias("parts"))
+    sent = near.join(parts, "g2").select("g1", "g2", F.pmod(F.xxhash64("g1"), "parts").alias("part"))
+    sent = sent.join(full.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1").select("g2", "part", "m1").repartition(partitions(docs.sparkSession), "g2")
+    sent = sent.groupBy("g2", "part").agg(F.flatten(F.collect_list("m1")).alias("m1"))
+    across = sent.join(full.select(F.col("g").alias("g2"), F.col("m").alias("m2")), "g2").select(F.lit(False).alias("same"), "m1", "m2")
+    inside = full.join(alone, "g", "left_semi").select(F.lit(True).alias("same"), F.col("m").alias("m1"), F.array().cast(full.schema["m"].dataType).alias("m2"))
+    found = work_table(_link(across.union(inside), num, den), "links")
 
     stars = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
