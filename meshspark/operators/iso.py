@@ -43,63 +43,37 @@ def marching_tets(tets: DataFrame, iso: float) -> DataFrame:
 
 @cache
 def cube_cases() -> list[list[tuple[int, int, int]]]:
-    """For each of 256 sign patterns the triangles as edge numbers.
+    """For each of 256 sign patterns the triangles as edge numbers, normals towards greater values.
 
-    On every face of the cell the crossings are joined so that low corners are cut off from each other; the joined segments
-    form loops around the cell, and a loop is cut into a fan. Neighbour cells see the same face alike, so the surface has no
-    cracks.
+    Around a face of the cell, seen from outside, every run of low corners is entered over one edge and left over another;
+    a step leads from the first to the second, so low corners of a face are cut off from each other. A crossed edge is
+    entered on one of its two faces and left on the other, so the steps form loops, and a loop is cut into a fan. Neighbour
+    cells see their common face alike, so the surface has no cracks.
     """
-    faces = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
+    faces = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
     number = {frozenset(e): i for i, e in enumerate(EDGES)}
     out = []
     for m in range(256):
-        inside = [bool(m >> i & 1) for i in range(8)]
-        links: dict[int, list[int]] = {}
+        low = [bool(m >> i & 1) for i in range(8)]
+        step = {}
         for face in faces:
             ring = [(face[i], face[(i + 1) % 4]) for i in range(4)]
-            crossed = [i for i, (p, q) in enumerate(ring) if inside[p] != inside[q]]
-            if len(crossed) == 2:
-                pairs = [tuple(crossed)]
-            elif len(crossed) == 4:
-                # Each low corner is cut off by the two ring edges at it.
-                pairs = [((i - 1) % 4, i) for i in range(4) if inside[face[i]]]
-            else:
-                pairs = []
-            for i, j in pairs:
-                a, b = number[frozenset(ring[i])], number[frozenset(ring[j])]
-                links.setdefault(a, []).append(b)
-                links.setdefault(b, []).append(a)
+            for i in range(4):
+                if not low[ring[i][0]] and low[ring[i][1]]:
+                    j = next(k % 4 for k in range(i + 1, i + 4) if not low[ring[k % 4][1]])
+                    step[number[frozenset(ring[i])]] = number[frozenset(ring[j])]
         tris, seen = [], set()
-        for start in sorted(links):
-            if start in seen:
-                continue
-            loop, last, now = [start], None, start
-            while True:
+        for start in sorted(step):
+            loop, now = [], start
+            while now not in seen:
                 seen.add(now)
-                follow = [x for x in links[now] if x != last] or links[now]
-                last, now = now, follow[0]
-                if now == start:
-                    break
                 loop.append(now)
-            tris += [_turned((loop[0], loop[i], loop[i + 1]), inside) for i in range(1, len(loop) - 1)]
+                now = step[now]
+            tris += [(loop[0], loop[i], loop[i + 1]) for i in range(1, len(loop) - 1)]
         out.append(tris)
     return out
 
 
-def _turned(tri: tuple[int, int, int], inside: list[bool]) -> tuple[int, int, int]:
-    """The triangle so turned that its normal points away from the low corners of its edges."""
-    corner = lambda k: (k & 1, k >> 1 & 1, k >> 2)
-    mid = [[(a + b) / 2 for a, b in zip(corner(EDGES[e][0]), corner(EDGES[e][1]), strict=True)] for e in tri]
-    u, v = ([b - a for a, b in zip(mid[0], mid[k], strict=True)] for k in (1, 2))
-    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    out = 0.0
-    for e in tri:
-        p, q = EDGES[e]
-        low, high = (p, q) if inside[p] else (q, p)
-        out += sum(x * (h - lo) for x, h, lo in zip(n, corner(high), corner(low), strict=True))
-    return tri if out >= 0 else (tri[0], tri[2], tri[1])
-
-
 def marching_cubes(corners: DataFrame, iso: float) -> DataFrame:
     """x, y, z, k, e0, e1, e2, ax .. cz: triangles of each cell (x, y, z, c0 .. c7).
 
