@@ -5,7 +5,7 @@ Equal sets are one set with several documents. The steps:
 
 1. One pass gives each document its set's size and fingerprint, and counts all shingles in a sketch of fixed width.
 2. Shingles are ordered from rare to frequent by the sketch. Two sets that link have their first k common shingles among
-   the first n - ceil(t n) + k of each. With k a sixteenth of the size, only those are dealt out to find the shingles that
+   the first n - ceil(t n) + k of each. With k a quarter of the size, only those are dealt out to find the shingles that
    several sets share; a set that shares too few of them can't link with any other and is left.
 3. Similar sets are put into groups: by the shared shingle that most sets hold, cut so that a group has a bounded number of
    members and shingles.
@@ -39,6 +39,8 @@ from llm.textkernel import Words, blocks, encode, mix, shingles, thrifty
 SKETCH_BITS = 20
 SLICE = 1 << 16
 FILTER_BITS = 23
+#: The dealt part holds the first common shingles of a link, the size over this number of them.
+COMMON = 4
 GROUP_SETS = 128
 GROUP_TOKENS = 100_000
 BLOCK = 1_000_000
@@ -72,7 +74,7 @@ def leading(n: int, num: int, den: int, common: int = 1) -> int:
 
 def common(n: int) -> int:
     """How many common shingles the dealt part of a set of n is long enough for. Never falls with n."""
-    return max(1, n // 16)
+    return max(1, n // COMMON)
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -335,7 +337,7 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 5, t
     sets = members.filter("sid != 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("n").alias("n"))
     shared = _shared(texts, levels, width, num, den)
     # A partner is at least n num / den in size, so its dealt part is long enough for so many common shingles.
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) / 16))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) / COMMON))
     keys = shared.groupBy("sid").agg(F.max(F.struct("c", "tok")).alias("k"), F.sum("shared").alias("shared"))
     keys = keys.join(sets.select("sid", "n"), "sid").filter(F.col("shared") >= least).select("sid", "n", F.col("k.tok").alias("key"))
 
