@@ -24,6 +24,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -80,24 +81,18 @@ class Encoder:
         """Ids of each text as bytes."""
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        get, plain, whole, new = self.known.get, {}, [], set()
+        plain, whole = {}, []
         for i, t in enumerate(texts):
             if self.odd.search(t):
                 whole.append(i)
-                continue
-            pieces = self.split.findall(t)
-            ids = list(map(get, pieces))
-            if None in ids:
-                new.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-                plain[i] = pieces
             else:
-                plain[i] = b"".join(ids)
-        fresh = list(new)
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
+                plain[i] = self.split.findall(t)
+        new = list(set(chain.from_iterable(plain.values())).difference(self.known))
+        self.known.update(zip(new, self._ids(new), strict=True))
         out = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
         get = self.known.__getitem__
-        for i, x in plain.items():
-            out[i] = x if isinstance(x, bytes) else b"".join(map(get, x))
+        for i, pieces in plain.items():
+            out[i] = b"".join(map(get, pieces))
         return [out[i] for i in range(len(texts))]
 
 
