@@ -254,3 +254,88 @@ def incidence_points(tris: DataFrame) -> DataFrame:
     """v, x, y, z of the corners of faces."""
     every = F.array(*[F.struct(F.col(f"v{k}").alias("v"), *[F.col(p + c).alias(c) for c in "xyz"]) for k, p in enumerate("abc")])
     return tris.select(F.explode(every).alias("p")).select("p.*").distinct()
+
+
+def flip_candidates(faces: DataFrame, verts: DataFrame) -> DataFrame:
+    """p, q, r, s, f, g, gain: inner edges p q between faces f (p q r) and g (q p s) whose flip to r s is worth it.
+
+    The least angle of the two faces must grow, their area at most by a tenth, and r s must not be an edge already.
+    """
+    t = twins(faces).filter("nbr >= 0 and f < nbr")
+    third = faces.select("f", F.array("v0", "v1", "v2").alias("vs"))
+    other = lambda vs: F.filter(vs, lambda x: (x != F.col("a")) & (x != F.col("b")))[0]
+    e = t.join(third, "f").withColumn("r", other("vs")).drop("vs").join(third.withColumnRenamed("f", "nbr"), "nbr").withColumn("s", other("vs"))
+    e = e.select(F.col("a").alias("p"), F.col("b").alias("q"), "r", "s", "f", F.col("nbr").alias("g"))
+    for k in "pqrs":
+        e = e.join(verts.select(F.col("v").alias(k), *[F.col(c).alias(k + c) for c in "xyz"]), k)
+    p, q, r, s = (g.vec(k) for k in "pqrs")
+
+    def cosines(a, b, c):
+        return [g.dot(g.sub(y, x), g.sub(z, x)) / (g.dist(x, y) * g.dist(x, z)) for x, y, z in ((a, b, c), (b, c, a), (c, a, b))]
+
+    flat = (g.area(r, s, q) > 0) & (g.area(s, r, p) > 0)
+    now = F.greatest(*cosines(p, q, r), *cosines(q, p, s))
+    new = F.greatest(*cosines(r, s, q), *cosines(s, r, p))
+    grown = (g.area(r, s, q) + g.area(s, r, p)) <= 1.1 * (g.area(p, q, r) + g.area(q, p, s))
+    good = e.filter(flat).withColumn("gain", now - new).filter((F.col("gain") > 1e-9) & grown)
+    edges = one_ring(faces).select(F.col("v").alias("r"), F.col("nbr").alias("s"))
+    return good.join(edges, ["r", "s"], "left_anti").select("p", "q", "r", "s", "f", "g", "gain")
+
+
+def flip_edges(faces: DataFrame, verts: DataFrame, rounds: int = 20) -> DataFrame:
+    """Faces after flips that enlarge least angles. Each round flips the edges that gain most among those that share a vertex
+    of their quads, so that no two flips of a round meet; it ends when none is worth it."""
+    from meshspark.operators.graph import settled
+
+    faces = faces.select("f", "v0", "v1", "v2")
+    for _ in range(rounds):
+        c = settled(flip_candidates(faces, verts))
+        if not c.take(1):
+            break
+        rank = F.struct((-F.col("gain")).alias("x"), "p", "q")
+        ends = c.select(F.explode(F.array("p", "q", "r", "s")).alias("v"), rank.alias("k"))
+        best = ends.groupBy("v").agg(F.min("k").alias("best"))
+        won = c.select("*", rank.alias("k")).select("*", F.explode(F.array("p", "q", "r", "s")).alias("v")).join(best, "v")
+        won = won.groupBy("p", "q", "r", "s", "f", "g").agg(F.min((F.col("k") == F.col("best")).cast("int")).alias("ok")).filter("ok = 1")
+        new = won.select(F.explode(F.array(F.struct("f", F.col("r").alias("v0"), F.col("s").alias("v1"), F.col("q").alias("v2")), F.struct(F.col("g").alias("f"), F.col("s").alias("v0"), F.col("r").alias("v1"), F.col("p").alias("v2")))).alias("t")).select("t.*")
+        faces = settled(faces.join(new.select("f"), "f", "left_anti").unionByName(new))
+    return faces
+
+
+def second_derivatives(tris: DataFrame) -> DataFrame:
+    """v, sx, sy, sz: for each vertex the sum over its faces of the cross products of the edges that leave it."""
+    rows = []
+    for k, (p, q, r) in enumerate(((A, B, C), (B, C, A), (C, A, B))):
+        n = g.cross(g.sub(q, p), g.sub(r, p))
+        rows.append(F.struct(F.col(f"v{k}").alias("v"), *[x.alias("s" + c) for x, c in zip(n, "xyz", strict=True)]))
+    each = tris.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+    return each.groupBy("v").agg(*[F.sum(F.round("s" + c, 9)).alias("s" + c) for c in "xyz"])
+
+
+def subdivide_to_area(tris: DataFrame, most: float, rounds: int = 12) -> DataFrame:
+    """f, n: each triangle (f, ax .. cz) cut in four until no part is larger than most, and the number of parts."""
+    parts = tris.select("f", *[p + c for p in "abc" for c in "xyz"])
+    done = None
+    for _ in range(rounds):
+        big = g.area(A, B, C) > most
+        small = parts.filter(~big).select("f")
+        done = small if done is None else done.unionByName(small)
+        mid = {x: tuple((F.col(x[0] + c) + F.col(x[1] + c)) / 2 for c in "xyz") for x in ("ab", "bc", "ca")}
+        own = {p: g.vec(p) for p in "abc"}
+        four = [(own["a"], mid["ab"], mid["ca"]), (mid["ab"], own["b"], mid["bc"]), (mid["ca"], mid["bc"], own["c"]), (mid["ab"], mid["bc"], mid["ca"])]
+        kids = F.array(*[F.struct(*[x.alias(p + c) for p, v in zip("abc", t, strict=True) for c, x in zip("xyz", v, strict=True)]) for t in four])
+        parts = parts.filter(big).select("f", F.explode(kids).alias("t")).select("f", "t.*")
+    return done.unionByName(parts.select("f")).groupBy("f").agg(F.count("*").alias("n"))
+
+
+def smooth_normals(points: DataFrame, radius: float, low: float = -0.3, high: float = 0.3) -> DataFrame:
+    """id, nx, ny, nz: means over the neighbours whose normals agree (dot above high) or, turned round, disagree (below low)."""
+    from meshspark.operators import spatial
+
+    q = points.select(F.col("id").alias("q"), "x", "y", "z")
+    near = spatial.within(q, points, radius).join(points.select(F.col("id").alias("q"), *[F.col("n" + c).alias("o" + c) for c in "xyz"]), "q").join(points.select("id", *["n" + c for c in "xyz"]), "id")
+    d = g.dot(g.vec("o"), g.vec("n"))
+    sign = F.when(d > high, 1.0).when(d < low, -1.0).otherwise(0.0)
+    s = near.groupBy(F.col("q").alias("id")).agg(*[F.sum(F.round(sign * F.col("n" + c), 10)).alias("s" + c) for c in "xyz"])
+    size = g.norm(g.vec("s"))
+    return s.select("id", *[F.when(size > 0, F.col("s" + c) / size).alias("n" + c) for c in "xyz"])

@@ -94,3 +94,32 @@ def in_tets(points: DataFrame, tets: DataFrame, side: float) -> DataFrame:
     p = cell(points, side)
     met = p.join(t, ["gx", "gy", "gz"]).filter(g.in_tet(g.vec(), *[g.vec(c) for c in "abcd"]))
     return met.groupBy("id").agg(F.min("t").alias("t"))
+
+
+def nearest_triangle(points: DataFrame, tris: DataFrame, side: float, rounds: int = 40) -> DataFrame:
+    """id, f, d2: the nearest triangle (f, ax .. cz) of each point, of several the one of least f.
+
+    Triangles are dealt to the cells their boxes cover, points look into the 27 cells around theirs; a point is closed when
+    what it found lies within the side of a cell, and the rest go on with doubled cells.
+    """
+    corners = [g.vec(p) for p in "abc"]
+    for c in "xyz":
+        tris = tris.withColumns({"lo" + c: F.least(*[p + c for p in "abc"]), "hi" + c: F.greatest(*[p + c for p in "abc"])})
+    ends = tris.agg(*[f(n + c).alias(n + c) for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"]).first()
+    box = points.agg(*[f(c).alias(n + c) for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    if ends["lox"] is None or box["lox"] is None:
+        return points.select("id", F.lit(0).alias("f"), F.lit(0.0).alias("d2")).limit(0)
+    extent = sum((max(box["hi" + c], ends["hi" + c]) - min(box["lo" + c], ends["lo" + c])) ** 2 for c in "xyz") ** 0.5
+    done, left = None, points.select("id", "x", "y", "z")
+    for _ in range(rounds):
+        last = side > extent
+        dealt = boxes(tris, ("lox", "loy", "loz"), ("hix", "hiy", "hiz"), side)
+        met = around(left, side).join(dealt, ["gx", "gy", "gz"]).withColumn("d2", g.triangle_distance2(g.vec(), *corners))
+        best = met.groupBy("id").agg(F.min(F.struct("d2", "f")).alias("b")).select("id", "b.f", "b.d2")
+        closed = best if last else best.filter(F.col("d2") <= side * side)
+        done = closed if done is None else done.unionByName(closed)
+        left = left.join(closed.select("id"), "id", "left_anti")
+        if last or not left.take(1):
+            break
+        side *= 2
+    return done
