@@ -105,8 +105,13 @@ def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", p
     Spark, and only each language's `size` most frequent n-grams come to the driver.
     """
     ids = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), "id"), "id"))
-    sample = ids.withColumn("n", first).filter(F.col("n") <= per_language).select("id").distinct()
+    # In two steps: the least of each of 64 parts of a language, then the least of those.
+    order = [F.xxhash64(F.lit(17), "id"), F.col("id")]
+    ids = ids.withColumn("part", F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(64)))
+    sample = ids
+    for by in (["lang", "part"], ["lang"]):
+        sample = sample.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= per_language)
+    sample = sample.select("id").distinct()
     texts = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample) if sample.count() <= 1_000_000 else sample, "id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
