@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshspark import fixtures as fx
 from meshspark.functions import geometry as g
-from meshspark.operators import curves, iso, mesh, octree, volume
+from meshspark.operators import curves, front, iso, mesh, octree, volume
 from meshspark.plans.mesh_queries import AREA, _cross, _len
 from meshspark.plans.registry import query, r6, s6
 
@@ -169,3 +169,18 @@ def nearest_triangle(spark, sf):
 
     t, p = _tri_d2(spark, sf)
     return spatial.nearest_triangle(p, t, 2.0).select("id", (F.round(F.sqrt("d2"), 5) + 0.0).alias("d"))
+
+
+@query()
+def advancing_front(spark, sf):
+    """Four blocks of the height field meshed by advancing fronts, with heights"""
+    blocks = spark.createDataFrame([(2 * i + j, 3.5 * i, 3.5 * j, 3.5 * i + 3.5, 3.5 * j + 3.5) for i in range(2) for j in range(2)], "block int, x0 double, y0 double, x1 double, y1 double")
+    return front.lift(front.mesh_blocks(blocks, 0.5), fx.surf_v(spark, sf))
+
+
+@query("SELECT CAST(b AS INT) AS block, 12.25::DOUBLE AS area FROM range(4) r(b)")
+def advancing_front_area(spark, sf):
+    """The plane area that each block's front covers"""
+    t = advancing_front(spark, sf)
+    a = g.left_turn(*[F.col(p + c) for p in "abc" for c in "xy"]) / 2
+    return t.groupBy("block").agg((F.round(F.sum(a), 6) + 0.0).alias("area"))

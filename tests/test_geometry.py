@@ -198,3 +198,43 @@ def test_exported_blocks(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == 4 * 3 * 3 and set(got.columns) == {"x", "y", "z", "value", "bx", "by", "bz"}
     assert got.filter("x = 1 and y = 0 and z = 2").first()["value"] == 2 + 20 + 600
+
+
+def test_advancing_front_covers_and_fits():
+    from meshspark.operators.front import Front, cut_segment
+
+    rng = np.random.default_rng(4)
+    for step in (0.3, 0.17):
+        size = lambda p, s=step: s * (1 + 0.5 * p[0])
+        outline = np.array([(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)], float)
+        loop = np.concatenate([cut_segment(outline[i], outline[(i + 1) % 6], size) for i in range(6)])
+        hole = np.array([(0.4, 0.4), (0.4, 0.6), (0.6, 0.6), (0.6, 0.4)]) + rng.uniform(0, 0.02, 2)
+        points, tris = Front([loop, hole], size).run()
+        a, b, c = (points[tris[:, k]] for k in range(3))
+        twice = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+        assert (twice > 0).all() and twice.sum() / 2 == pytest.approx(3 - 0.04)
+        edges = [(int(t[i]), int(t[(i + 1) % 3])) for t in tris for i in range(3)]
+        assert len(edges) == len(set(edges))
+        border = {(x, y) for x, y in edges if (y, x) not in set(edges)}
+        assert len(border) == len(loop) + 4
+        assert len(points) - (len(edges) + len(border)) // 2 + len(tris) == 0  # a disc with a hole
+
+
+def test_curves(spark):
+    from meshspark.operators import curves
+
+    n = 200
+    ring = spark.createDataFrame([(0, i, 2 * math.cos(i / 50), 2 * math.sin(i / 50), 0.0, 0.1) for i in range(n)], "curve int, pos int, x double, y double, z double, ideal double")
+    assert curves.arc_lengths(ring).agg(F.max("s")).first()[0] == pytest.approx(2 * 199 / 50, rel=1e-3)
+    k = [r["k"] for r in curves.curvature(ring, 0.5).orderBy("pos").collect()]
+    assert k[n // 2] == pytest.approx(0.5, rel=2e-2)
+    out = curves.resample(ring)
+    assert out.count() == round(2 * 199 / 50 / 0.1) + 1
+
+
+def test_flips_only_improve(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 4.0, 0.0, 0.0), (2, 2.0, 0.5, 0.0), (3, 2.0, -0.5, 0.0)], "v int, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 0, 3)], "f int, v0 int, v1 int, v2 int")
+    assert mesh.flip_candidates(f, v).count() == 1
+    out = mesh.flip_edges(f, v)
+    assert {frozenset((r["v0"], r["v1"], r["v2"])) for r in out.collect()} == {frozenset((2, 3, 1)), frozenset((2, 3, 0))}
