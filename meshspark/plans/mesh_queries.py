@@ -129,13 +129,12 @@ def tet_shell(spark, sf):
     return mesh.tet_shell(fx.tets(spark))
 
 
-@query("SELECT DISTINCT x.f AS f, y.f AS g FROM soup x JOIN soup y ON x.m = 0 AND y.m = 1 AND x.ax = y.ax AND x.ay = y.ay AND x.az = y.az", "soup")
+@query("SELECT x.f AS f, y.f AS g FROM surf_t x JOIN surf_t y ON x.ax = y.cx AND x.ay = y.cy AND x.az = y.cz", "surf_t")
 def coordinate_match(spark, sf):
-    """Faces of two meshes whose first corners coincide"""
-    t = fx.soup_f(spark, sf)
-    x = t.filter("m = 0").select("f", "ax", "ay", "az")
-    y = t.filter("m = 1").select(F.col("f").alias("g"), "ax", "ay", "az")
-    return x.join(y, ["ax", "ay", "az"]).select("f", "g").distinct()
+    """Faces of two meshes, the second turned over, whose first corners coincide"""
+    t = fx.surf_t(spark, sf)
+    other = t.select(F.col("f").alias("g"), *[F.col("c" + c).alias("a" + c) for c in "xyz"])
+    return t.select("f", "ax", "ay", "az").join(other, ["ax", "ay", "az"]).select("f", "g")
 
 
 @query(
