@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from meshspark import fixtures as fx
 from meshspark.functions import geometry as g
-from meshspark.operators import curves, front, iso, mesh, octree, volume
+from meshspark.operators import curves, front, iso, mesh, octree, surface, volume
 from meshspark.plans.mesh_queries import AREA, _cross, _len
 from meshspark.plans.registry import query, r6, s6
+from meshspark.plans.space_queries import _NEAR
 
 LOW, SIDE = (-2.0, -2.0, -2.0), 4.0
 _CELL = ", ".join(f"CAST(greatest(0, least(7, floor(({c} + 2) * 8 / 4))) AS BIGINT) AS {c}" for c in "xyz")
@@ -184,3 +185,62 @@ def advancing_front_area(spark, sf):
     t = advancing_front(spark, sf)
     a = g.left_turn(*[F.col(p + c) for p in "abc" for c in "xy"]) / 2
     return t.groupBy("block").agg((F.round(F.sum(a), 6) + 0.0).alias("area"))
+
+
+_WD = {"x": surface.weight_derivatives(0.25, 1), "y": surface.weight_derivatives(0.5, 0), "z": surface.weight_derivatives(0.75, 0)}
+_GX = " * ".join(f"(CASE d{c} WHEN -1 THEN {w[0]!r} WHEN 0 THEN {w[1]!r} WHEN 1 THEN {w[2]!r} ELSE {w[3]!r} END)::DOUBLE" for c, w in _WD.items())
+
+
+@query(f"WITH n AS ({_NEAR.format(w=1, m=4)}) SELECT x, y, z, round(sum(round({_GX} * value, 10)), 5) + 0e0 AS gx FROM n WHERE x < 7 AND y < 7 AND z < 7 GROUP BY x, y, z", "vox")
+def spline_gradient(spark, sf):
+    """Derivatives of the tri-cubic spline"""
+    return surface.spline_field(fx.vox(spark, sf), (8, 8, 8), (0.25, 0.5, 0.75)).select("x", "y", "z", (F.round("gx", 5) + 0.0).alias("gx"))
+
+
+@query()
+def iso_curvatures(spark, sf):
+    """Curvatures of the level surfaces in cells"""
+    return surface.iso_curvature(surface.spline_field(fx.vox(spark, sf), (8, 8, 8), (0.25, 0.5, 0.75))).select("x", "y", "z", "value", "mean", "gauss")
+
+
+@query()
+def mesh_curvatures(spark, sf):
+    """Curvatures of the height field from quadrics over three rings"""
+    return surface.mesh_curvature(fx.surf_t(spark, sf))
+
+
+@query()
+def tet_regression(spark, sf):
+    """Scalars and gradients at cell centres from weighted quadratics"""
+    v = fx.tverts(spark, sf).select(F.col("v").alias("id"), "x", "y", "z", "s")
+    q = v.filter("x < 7 and y < 7 and z < 7").select(F.col("id").alias("q"), *[(F.col(c) + 0.5).alias(c) for c in "xyz"])
+    return surface.scalar_regression(q, v, 2.2)
+
+
+@query()
+def iso_seeds(spark, sf):
+    """Ten evenly spaced faces of each component of the iso-surface"""
+    t = iso.marching_cubes(volume.cell_corners(fx.vox(spark, sf)), fx.ISO)
+    return surface.seeds(t.select("e0", "e1", "e2"))
+
+
+@query("WITH d AS (SELECT q.id AS q, p.id AS id, p.label, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS d2 FROM pts q, pts p WHERE q.id < 20), r AS (SELECT q, id, d2, CAST(row_number() OVER (PARTITION BY q ORDER BY d2, id) AS INT) AS rank FROM d) SELECT q, rank, id, round(d2, 6) + 0e0 AS d2 FROM r WHERE rank <= 3", "pts")
+def merged_nearest(spark, sf):
+    """Nearest points merged from block-wise streams"""
+    p = fx.pts(spark, sf)
+    q = p.filter("id < 20").select(F.col("id").alias("q"), *[F.col(c).alias("q" + c) for c in "xyz"])
+    s = p.crossJoin(F.broadcast(q))  # twenty stated queries against all rows
+    s = s.select("q", "id", F.col("label").alias("block"), g.dist2(g.vec("q"), g.vec()).alias("d2"))
+    return surface.merged_nearest(s, 3).select("q", "rank", "id", r6("d2", "d2"))
+
+
+_ICO = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE, {i + 1}.0::DOUBLE)" for i, (x, y, z) in enumerate(surface.icosahedron_directions()))
+
+
+@query(f"WITH s(d, sx, sy, sz, s) AS (VALUES {_ICO}), u AS (SELECT id AS q, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM pts), t AS (SELECT q, x * sx + y * sy + z * sz AS dot, s, row_number() OVER (PARTITION BY q ORDER BY x * sx + y * sy + z * sz DESC, d) AS r FROM u, s) SELECT q, round(sum(round(dot * s, 10)) / sum(round(dot, 10)), 5) + 0e0 AS value FROM t WHERE r <= 3 GROUP BY q", "pts")
+def directional_blend(spark, sf):
+    """Values by direction from icosahedron samples"""
+    n = g.norm(g.vec())
+    q = fx.pts(spark, sf).select(F.col("id").alias("q"), *[(F.col(c) / n).alias(c) for c in "xyz"])
+    s = spark.createDataFrame([(i, *d, float(i + 1)) for i, d in enumerate(surface.icosahedron_directions())], "d int, x double, y double, z double, s double")
+    return surface.directional(q, s).select("q", (F.round("value", 5) + 0.0).alias("value"))

@@ -238,3 +238,48 @@ def test_flips_only_improve(spark):
     assert mesh.flip_candidates(f, v).count() == 1
     out = mesh.flip_edges(f, v)
     assert {frozenset((r["v0"], r["v1"], r["v2"])) for r in out.collect()} == {frozenset((2, 3, 1)), frozenset((2, 3, 0))}
+
+
+def test_spline_curvature_of_a_sphere(spark):
+    from meshspark.operators import surface
+
+    vox = grid(spark, 11, lambda x, y, z: math.sqrt((x - 5) ** 2 + (y - 5) ** 2 + (z - 5) ** 2))
+    rows = surface.iso_curvature(surface.spline_field(vox, (11, 11, 11), (0.5, 0.5, 0.5))).filter("value > 3 and value < 5").collect()
+    assert rows
+    for r in rows:
+        assert r["mean"] == pytest.approx(1 / r["value"], rel=0.25) and r["gauss"] == pytest.approx(1 / r["value"] ** 2, rel=0.5)
+
+
+def test_booleans_of_cubes(spark):
+    from meshspark.operators import surface
+
+    a, b = (with_corners(f, v) for v, f in (cube(spark), cube(spark, 0.5)))
+    far = with_corners(*cube(spark, 9.0)[::-1])
+    assert surface.boolean_faces(a, far, "union", 1.0).count() == 24
+    assert surface.boolean_faces(a, far, "intersection", 1.0).count() == 0
+    assert surface.boolean_faces(a, far, "difference", 1.0).filter("m = 1").count() == 0
+    got = surface.boolean_faces(a, b, "intersection", 1.0)
+    assert got.count() > 0 and got.filter("near").count() == got.count()
+    p = spark.createDataFrame([(0, 0.5, 0.5, 0.5), (1, 1.5, 0.5, 0.5), (2, 0.5, 0.5, -1.0)], "id int, x double, y double, z double")
+    assert [r["inside"] for r in surface.inside(p, a, 0.3).orderBy("id").collect()] == [True, False, False]
+
+
+def test_quadratics_are_reproduced(spark):
+    from meshspark.operators import surface
+
+    f = lambda x, y, z: 1 + x - 2 * y + 3 * z + x * y - z * z
+    pts = spark.createDataFrame([(i, float(x), float(y), float(z), float(f(x, y, z))) for i, (x, y, z) in enumerate(np.ndindex(5, 5, 5))], "id int, x double, y double, z double, s double")
+    q = spark.createDataFrame([(0, 2.2, 2.4, 1.9)], "q int, x double, y double, z double")
+    r = surface.scalar_regression(q, pts, 2.0).first()
+    assert r["value"] == pytest.approx(f(2.2, 2.4, 1.9)) and (r["gx"], r["gy"], r["gz"]) == pytest.approx((1 + 2.4, -2 + 2.2, 3 - 3.8))
+
+
+def test_mesh_curvature_of_a_cylinder(spark):
+    from meshspark.operators import surface
+
+    n, m = 24, 12
+    v = spark.createDataFrame([(i * m + j, 2 * math.cos(2 * math.pi * i / n), 2 * math.sin(2 * math.pi * i / n), 0.5 * j) for i in range(n) for j in range(m)], "v int, x double, y double, z double")
+    quads = [(i * m + j, (i + 1) % n * m + j, (i + 1) % n * m + j + 1, i * m + j + 1) for i in range(n) for j in range(m - 1)]
+    f = spark.createDataFrame([(k, *t) for k, t in enumerate(t for a, b, c, d in quads for t in ((a, b, c), (a, c, d)))], "f int, v0 int, v1 int, v2 int")
+    rows = [r for r in surface.mesh_curvature(with_corners(f, v), 2).collect() if 3 <= r["v"] % m <= m - 4]
+    assert all(abs(r["k1"]) < 0.02 and abs(r["k2"]) == pytest.approx(0.5, rel=0.1) for r in rows)
