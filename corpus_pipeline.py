@@ -16,33 +16,50 @@ from llm.session import read, ready, work_path
 LEAST_LANGUAGE_SCORE = 0.2
 
 
+def shielded(docs: DataFrame, own) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of an operator's own names put aside, and the names to give back."""
+    aside = {c: f"{c}__kept" for c in docs.columns if c in own}
+    while set(aside.values()) & set(docs.columns):
+        aside = {c: n + "_" for c, n in aside.items()}
+    return docs.withColumnsRenamed(aside), {n: c for c, n in aside.items()}
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language can't be told (none, or unlike every profile) go; the others get the language found."""
+    """Texts whose language can't be told (none, or unlike every profile) go; the others get the language found.
+
+    Null and empty texts have no language and go; with no row to learn from all go.
+    """
     ready(spark)
     profiles = language.fit(docs)
-    named = language.identify(docs, profiles)
+    safe, back = shielded(docs, ("lang_pred", "score"))
+    named = language.identify(safe, profiles)
     kept = named.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.withColumn("lang", F.col("lang_pred")).drop("lang_pred", "score").withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of least id stays; of rows with equal ids and texts, one."""
+    """Of each component of linked documents the one of least id stays; of rows with equal ids and texts, one.
+
+    Texts without words link with nothing and stay; rows without an id stay where no row with one is linked to them.
+    """
     ready(spark)
-    rows = ngram_join.join(docs.select("doc_id", "text"))
+    safe, back = shielded(docs, ("leader",))
+    rows = ngram_join.join(safe.select("doc_id", "text"))
     leaders = rows.filter("doc_id <=> component_id").select(F.col("doc_id").alias("leader")).distinct()
-    first = docs.join(leaders, F.expr("doc_id <=> leader"), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    first = safe.join(leaders, F.expr("doc_id <=> leader"), "left_semi")
+    return first.dropDuplicates(["doc_id", "text"]).withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item go."""
+    """Documents with a benchmark item go; all others stay, null and empty texts too."""
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a partial repetition is the text's first words."""
+    """Documents as often as the mix takes them; a partial repetition is the text's first words. Texts without words go."""
     ready(spark)
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    safe, back = shielded(docs, mixing.OWN)
+    return mixing.repeated(mixing.mix(safe)).withColumnsRenamed(back).select(*docs.columns)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

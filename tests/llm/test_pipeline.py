@@ -41,3 +41,23 @@ def test_stages(spark, tmp_path):
     assert tokens.agg({"n_tokens": "sum"}).first()[0] > mixed.count()
     assert p.run(spark, str(tmp_path)).count() == tokens.count()
     assert tokenstore.END_ID == 2
+
+
+def test_stages_with_no_rows_and_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = SCHEMA + ", lang_pred string, score int, leader int, mix_size int, mix_part int, row int, id int, size int"
+    data = [(*r, "own", 1, 2, 3, 4, 5, 6, 7) for r in rows()]
+    for k, table in enumerate((spark.createDataFrame([], schema), spark.createDataFrame(data, schema))):
+        table.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            if k == 0:
+                assert got == []
+            if name != "token_store":
+                assert out.columns == docs.columns
+                assert all((r["lang_pred"], r["score"], r["leader"], r["mix_size"], r["mix_part"]) == ("own", 1, 2, 3, 4) for r in got)
+            assert k == 0 or got
