@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshspark.functions import geometry as g
+from meshspark.operators.graph import settled
 
 
 def cell(df: DataFrame, side: float, names=("gx", "gy", "gz")) -> DataFrame:
@@ -48,13 +49,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, side: float, rounds: int
     w = Window.partitionBy("q").orderBy("d2", "id")
     for _ in range(rounds):
         last = side > extent
-        found = within(left, points, side).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        # Read three times, and the next round stands on it.
+        found = settled(within(left, points, side).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
         if last:
             out = found
         else:
             full = found.groupBy("q").agg(F.max("rank").alias("n")).filter(F.col("n") == k).select("q")
             out = found.join(full, "q", "left_semi")
-            left = left.join(full, "q", "left_anti")
+            left = settled(left.join(full, "q", "left_anti"))
         out = out.select("q", "rank", "id", "d2")
         done = out if done is None else done.unionByName(out)
         if last or not left.take(1):
@@ -115,10 +117,10 @@ def nearest_triangle(points: DataFrame, tris: DataFrame, side: float, rounds: in
         last = side > extent
         dealt = boxes(tris, ("lox", "loy", "loz"), ("hix", "hiy", "hiz"), side)
         met = around(left, side).join(dealt, ["gx", "gy", "gz"]).withColumn("d2", g.triangle_distance2(g.vec(), *corners))
-        best = met.groupBy("id").agg(F.min(F.struct("d2", "f")).alias("b")).select("id", "b.f", "b.d2")
+        best = settled(met.groupBy("id").agg(F.min(F.struct("d2", "f")).alias("b")).select("id", "b.f", "b.d2"))
         closed = best if last else best.filter(F.col("d2") <= side * side)
         done = closed if done is None else done.unionByName(closed)
-        left = left.join(closed.select("id"), "id", "left_anti")
+        left = settled(left.join(closed.select("id"), "id", "left_anti"))
         if last or not left.take(1):
             break
         side *= 2
