@@ -147,9 +147,15 @@ def plane_distance(spark, sf):
     return fx.pts(spark, sf).filter("id < 40").select("id", r6(F.abs("x"), "d"))
 
 
-def _tri_d2(spark, sf):
+@query()
+def plane_distance_all(spark, sf):
+    """Distance of every point to the plane x = 0"""
+    return fx.pts(spark, sf).select("id", r6(F.abs("x"), "d"))
+
+
+def _tri_d2(spark, sf, which="id < 60"):
     t = fx.surf_t(spark, sf)
-    p = fx.pts(spark, sf).filter("id < 60").select("id", *[(3.5 + 1.5 * F.col(c)).alias(c) for c in "xyz"])
+    p = fx.pts(spark, sf).filter(which).select("id", *[(3.5 + 1.5 * F.col(c)).alias(c) for c in "xyz"])
     return t, p
 
 
@@ -164,14 +170,20 @@ def _sql_seg(p, q):
     + " + ".join(f"({n}) * n{c}" for c, n in zip("xyz", [x.replace("cy", "y").replace("cx", "x").replace("cz", "z") for x in _cross("a", "b", "c")], strict=True)) + " AS w FROM m) SELECT id, round(sqrt(min(CASE WHEN v >= 0 AND w >= 0 AND v + w <= n2 THEN h * h / n2 ELSE e2 END)), 5) + 0e0 AS d FROM d GROUP BY id",
     "pts", "surf_t",
 )
-def nearest_triangle(spark, sf):
+def nearest_triangle(spark, sf, which="id < 60"):
     """Distance of points to the mesh, by candidate boxes of growing reach"""
     from meshspark.operators import spatial
 
-    t, p = _tri_d2(spark, sf)
+    t, p = _tri_d2(spark, sf, which)
     return spatial.nearest_triangle(p, t, 2.0).select("id", (F.round(F.sqrt("d2"), 5) + 0.0).alias("d"))
 
 
+@query()
+def nearest_triangle_all(spark, sf):
+    """Distance of every point to the mesh"""
+    return nearest_triangle(spark, sf, "true")
+
+
 @query()
 def advancing_front(spark, sf):
     """Four blocks of the height field meshed by advancing fronts, with heights"""
@@ -234,6 +246,21 @@ def merged_nearest(spark, sf):
     return surface.merged_nearest(s, 3).select("q", "rank", "id", r6("d2", "d2"))
 
 
+@query()
+def merged_nearest_all(spark, sf):
+    """Nearest points of every point merged from block-wise streams, each block searched by growing cells"""
+    from meshspark.operators import spatial
+
+    p = fx.pts(spark, sf)
+    q = p.select(F.col("id").alias("q"), "x", "y", "z")
+    s = None
+    for r in p.select("label").distinct().orderBy("label").collect():  # labels are few
+        block = p.filter(F.col("label").eqNullSafe(F.lit(r["label"])))
+        found = spatial.knn(q, block, 3, 0.1).select("q", "id", F.lit(r["label"]).alias("block"), "d2")
+        s = found if s is None else s.unionByName(found)
+    return surface.merged_nearest(s, 3).select("q", "rank", "id", r6("d2", "d2"))
+
+
 _ICO = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE, {i + 1}.0::DOUBLE)" for i, (x, y, z) in enumerate(surface.icosahedron_directions()))
 
 
