@@ -1,14 +1,15 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-For every benchmark item, windows of as many words as the item has slide over each text, word by word. A window and an item
-are bags of 5-word shingles. A window gets a 64-bit SimHash of its weighted shingles; tables over the eight bytes of the
-items' fingerprints, each holding all bytes within three bits, find every item of that size within 24 bits (of 24 differing
-bits one of eight bytes has three at most). What they find is verified by the exact weighted similarity: the sum of the
-lesser weights over the sum of the greater ones, at least 0.75.
+For every benchmark item, windows of as many words as the item has slide over each text, word by word; a text of fewer words
+is one window, the whole of it. A window and an item are bags of 5-word shingles. A window gets a 64-bit SimHash of its
+weighted shingles; tables over the eight bytes of the items' fingerprints, each holding all bytes within three bits, find
+every item of that size within 24 bits (of 24 differing bits one of eight bytes has three at most). What they find is
+verified by the exact weighted similarity: the sum of the lesser weights over the sum of the greater ones, at least 0.75.
 
 A window can reach 0.75 only with three quarters of an item's shingles in it, so windows with fewer shingles known from
 items of their size are passed over first; that loses nothing. The fingerprint step can: at a similarity of just 0.75 the
 expected distance is 11 bits with a deviation of 3, so about one in 100,000 such pairs lies beyond 24; exact copies are at 0.
+A text that is three quarters of an item lies beyond 24 as seldom; of items of four or five shingles about one in 10,000 does.
 
 Items are a stated query set: they are read in blocks of `ITEMS`, and each block's tables, bounded by it, go to the tasks.
 
@@ -130,22 +131,23 @@ class Index:
 
     def _windows(self, s: Index.Size, runs: np.ndarray, at: np.ndarray) -> list[tuple[object, float, int, int]]:
         span = s.words - s.width + 1
-        if len(runs) < span or not len(at):
+        if not len(at):
             return []
-        near = np.zeros(len(runs) - span + 2, np.int32)
-        np.add.at(near, np.maximum(at - span + 1, 0), 1)
+        wide = min(span, len(runs))  # a text shorter than the items is one window
+        near = np.zeros(len(runs) - wide + 2, np.int32)
+        np.add.at(near, np.maximum(at - wide + 1, 0), 1)
         np.add.at(near, np.minimum(at + 1, len(near) - 1), -1)
         starts = np.flatnonzero(np.cumsum(near)[:-1] >= self.threshold * span)
         best: dict[int, tuple[float, int]] = {}
         for begin in range(0, len(starts), 4096):
             part = starts[begin : begin + 4096]
-            low, high = int(part[0]), int(part[-1]) + span
+            low, high = int(part[0]), int(part[-1]) + wide
             # Windows far apart are summed one by one, close ones from running sums.
             if high - low <= 8 * len(part) + 20_000:
                 sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(runs[low:high]), axis=0, dtype=np.int32)))
-                prints = _pack(sums[part - low + span] - sums[part - low])
+                prints = _pack(sums[part - low + wide] - sums[part - low])
             else:
-                prints = np.array([simhash(runs[i : i + span]) for i in part], np.uint64)
+                prints = np.array([simhash(runs[i : i + wide]) for i in part], np.uint64)
             bytes_ = prints.view(np.uint8).reshape(-1, 8)
             found = np.zeros((len(part), len(s.ids)), bool)
             for k in range(8):
@@ -153,10 +155,10 @@ class Index:
             for w, k in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
                 if int(np.bitwise_count(prints[w] ^ s.prints[k])) <= RADIUS:
                     start = int(part[w])
-                    score = similarity(Counter(runs[start : start + span].tolist()), s.bags[k])
+                    score = similarity(Counter(runs[start : start + wide].tolist()), s.bags[k])
                     if score >= self.threshold and score > best.get(k, (0.0, 0))[0]:
                         best[k] = (score, start)
-        return [(s.ids[k], score, start, s.words) for k, (score, start) in sorted(best.items())]
+        return [(s.ids[k], score, start, wide + s.width - 1) for k, (score, start) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, threshold: float) -> Iterator[Index]:
