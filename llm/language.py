@@ -30,7 +30,7 @@ _BITS = np.uint64(21)
 
 def _letters() -> np.ndarray:
     table = np.zeros(0x110000, bool)
-    table[[i for i in range(0x30000) if chr(i).isalpha()]] = True
+    table[[i for i in range(0x110000) if chr(i).isalpha()]] = True
     return table
 
 
