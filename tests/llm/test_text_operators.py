@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,7 +254,7 @@ def test_token_store_round_trip(spark, docs, clashing, empty, tmp_path):
     odd = [(500, "a <|endoftext|> b", "en", ""), (501, "naïve café 漢字  x\x1c y  z", "en", ""), (502, "it's  we'll\n\n\n  don't 'x", "en", ""), (503, " ", "en", "")]
     table = docs.unionByName(spark.createDataFrame(odd, SCHEMA))
     path = f"file://{tmp_path}/store"
-    tokenstore.write(table, path, tokenizer)
+    tokenstore.write(table.withColumns({c: F.lit(7) for c in clashing.columns if c not in table.columns}), path, tokenizer)
     lib = Tokenizer.from_file(tokenizer)
     plain = [(d, [*lib.encode(t or "", add_special_tokens=False).ids, 2]) for d, t, *_ in [*rows(), *odd]]
     got = [(r["doc_id"], r["start"], list(r["ids"])) for r in tokenstore.documents(spark, path).collect()]
@@ -283,7 +284,66 @@ def test_a_damaged_chunk_is_found(spark, docs, tmp_path):
     body = bytes(parts["body"][0])
     parts.at[0, "body"] = body[:-1] + bytes([body[-1] ^ 1])
     with pytest.raises(tokenstore.Damaged):
-        list(tokenstore._chunk_sums(iter([parts]), False))
+        list(tokenstore._chunk_sums(iter([pa.RecordBatch.from_pandas(parts[["key", "body"]])]), 2))
+
+
+def test_a_damaged_recipe_or_manifest_is_found(spark, docs, tmp_path):
+    import public_tokenizers
+
+    for what in ("recipes", "manifest", "start"):
+        path = f"file://{tmp_path}/{what}"
+        tokenstore.write(docs.limit(9), path, public_tokenizers.path("byte_bpe_50k.json"))
+        root = tokenstore.corpus_root(spark, path)
+        assert len(root) == 32 and tokenstore.digests(spark, path).count() == 9
+        table = "manifest" if what == "manifest" else "recipes"
+        rows_ = spark.createDataFrame(spark.read.parquet(f"{path}/{table}").toPandas(), spark.read.parquet(f"{path}/{table}").schema)
+        change = {"recipes": F.when(F.col("position") == 3, F.reverse("addresses")).otherwise(F.col("addresses")), "manifest": F.lit(b"x" * 32), "start": F.col("start") + 1}[what]
+        column = {"recipes": "addresses", "manifest": "root", "start": "start"}[what]
+        rows_.withColumn(column, change).write.mode("overwrite").parquet(f"{path}/{table}")
+        assert tokenstore.verify(spark, path).count() > 0
+        with pytest.raises(tokenstore.Damaged):
+            tokenstore.digests(spark, path)
+
+
+def test_the_manifest_has_one_root(spark, docs, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenstore, "LEAVES", 4)
+    path = f"file://{tmp_path}/store"
+    tokenstore.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    levels = Counter(r["level"] for r in tokenstore._manifest(spark, path).collect())
+    assert levels[max(levels)] == 1 and len(levels) > 2
+    assert tokenstore.verify(spark, path).count() == 0
+
+
+def test_ids_of_another_type_are_refused(spark, tmp_path):
+    with pytest.raises(TypeError):
+        tokenstore.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), f"file://{tmp_path}/s", "none")
+
+
+def test_encoder_against_the_library():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, enc, r = Tokenizer.from_file(path), tokenstore.Encoder(path), random.Random(5)
+    enc.PLACES = 6  # pieces push each other out
+    enc.forget()
+    bits = ["'s", "'re", "'ll", " '", "'", " ", "  ", "\n", "\t", "a", "é", "ß", "9", "²", "!", "<|", "<|endoftext|>", "it", "\r\n", "漢", "\xa0", "ɏ", "ɐ", "\0", " word", "x" * 28, " 's", "s", "×", "\x7f"]
+    for _ in range(400):
+        texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(3)]
+        assert [x.tolist() for x in enc.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_chunks_of_a_stream_do_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(2)
+    streams = [rng.integers(0, 50000, n).astype("<u2") for n in (1, 0, 5000, 31, 800)] + [np.zeros(20000, "<u2")]
+    together = tokenstore.cuts(streams)
+    for s, e in zip(streams, together, strict=True):
+        assert tokenstore.cuts([s])[0].tolist() == e.tolist()
+        assert (e[-1] if len(e) else 0) == len(s) and (np.diff(e, prepend=0) <= tokenstore.MOST).all()
 
 
 def test_checksums_combine():
