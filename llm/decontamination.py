@@ -1,26 +1,32 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
 For every benchmark item, windows of as many words as the item has slide over each text, word by word; a text of fewer words
-is one window, the whole of it. A window and an item are bags of 5-word shingles. A window gets a 64-bit SimHash of its
-weighted shingles; tables over the eight bytes of the items' fingerprints, each holding all bytes within three bits, find
-every item of that size within 24 bits (of 24 differing bits one of eight bytes has three at most). What they find is
-verified by the exact weighted similarity: the sum of the lesser weights over the sum of the greater ones, at least 0.75.
+is one window, the whole of it. A window and an item are bags of 5-word shingles. A window gets a SimHash of 128 bits of its
+weighted shingles. A multi-index over the items' fingerprints cuts them into eight blocks of 16 bits: of two fingerprints
+within 31 bits, some block differs in three bits at most, so looking up, for each block, all values within three bits
+guarantees every item within the radius. Of unrelated fingerprints one in twelve gets past the blocks, and none past the
+whole distance. What is left is verified by the exact weighted similarity: the sum of the lesser weights over the sum of the
+greater ones, at least 0.75.
 
 A window can reach 0.75 only with three quarters of an item's shingles in it, so windows with fewer shingles known from
-items of their size are passed over first; that loses nothing. The fingerprint step can: at a similarity of just 0.75 the
-expected distance is 11 bits with a deviation of 3, so about one in 100,000 such pairs lies beyond 24; exact copies are at 0.
-A text that is three quarters of an item lies beyond 24 as seldom; of items of four or five shingles about one in 10,000 does.
+items of their size get no fingerprint; that loses nothing. The fingerprint step can: at a similarity of just 0.75 the
+expected distance is 22 bits with a deviation of 4.3, so about one in 70 such pairs lies beyond 31, at 0.8 one in 600; exact
+copies are at 0. A document has several windows near its best one, so fewer items are lost than pairs.
 
-Items are a stated query set: they are read in blocks of `ITEMS`, and each block's tables, bounded by it, go to the tasks.
+Items are a stated query set, indexed as flat arrays (about half a KB an item) that are broadcast; `ITEMS` of them, a bounded
+size, go with one pass over the texts, and more of them take more passes.
 
-Edge cases: items and texts without words have no hits; an item of fewer than five words is one shingle, its whole sequence;
-items with equal texts are all reported; repeated rows get equal hits; of equally similar windows the first counts.
+Edge cases: items and texts that are null, empty or without words have no hits, and an empty benchmark or table gives no
+rows; an item of fewer than five words is one shingle, its whole sequence; items with equal texts are all reported; repeated
+rows get equal hits; of equally similar windows the first counts; very long texts are gone through whole; only the id and
+the text of a document are read for `find`, and `clean` gives back all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,10 +36,16 @@ from pyspark.sql import functions as F
 from llm.textkernel import _PLACES, Words, blocks, encode, mix
 
 WIDTH = 5
-RADIUS = 24
-ITEMS = 20_000
+BITS = 128
+KEYS = 8
+FLIPS = 3
+#: Some of the blocks of two fingerprints within this distance differ in FLIPS bits at most.
+RADIUS = KEYS * (FLIPS + 1) - 1
+ITEMS = 100_000
 BLOCK = 1_500_000
 _BITS = np.arange(64, dtype=np.uint64)
+#: All values of 16 bits with FLIPS bits set at most.
+_BALL = np.array([sum(1 << b for b in c) for k in range(FLIPS + 1) for c in combinations(range(16), k)], np.int64)
 
 
 def folded(text: str | None) -> bytes:
@@ -59,18 +71,24 @@ def _runs_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    return (((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1
+    both = np.stack((hashes, mix(hashes + np.uint64(0x5851F42D4C957F2D))), axis=1)
+    return ((((both[:, :, None] >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1).reshape(len(hashes), BITS)
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+    return ((sums > 0).astype(np.uint64).reshape(len(sums), BITS // 64, 64) << _BITS).sum(axis=2, dtype=np.uint64)
 
 
-def simhash(hashes: np.ndarray) -> np.uint64:
-    """Bit by bit the sign of the sum over shingles, each as often as it occurs."""
+def simhash(hashes: np.ndarray) -> np.ndarray:
+    """Bit by bit the sign of the sum over shingles, each as often as it occurs; two words of 64 bits."""
     return _pack(_signs(hashes).sum(axis=0)[None, :])[0]
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of fingerprints."""
+    return np.bitwise_count(a ^ b).sum(axis=1)
+
+
 def similarity(a: Counter, b: Counter) -> float:
     """Sum of the lesser weights over the sum of the greater ones."""
     low = sum(min(n, b[x]) for x, n in a.items() if x in b)
@@ -78,28 +96,34 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """The items of one block, by size."""
+    """The items of one pass: a multi-index over the fingerprints of their different bags, and what is known by size."""
 
     class Size:
-        def __init__(self, m: int, items: list[tuple[object, np.ndarray]]):
-            self.words, self.width = m, min(m, WIDTH)
-            self.ids = [i for i, _ in items]
-            self.bags = [Counter(h.tolist()) for _, h in items]
-            self.prints = np.array([simhash(h) for _, h in items], np.uint64)
-            self.known = np.unique(np.concatenate([h for _, h in items]))
-            # For each of the eight bytes and each value: which items have a byte within three bits there.
-            near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // 8
-            bytes_ = self.prints.view(np.uint8).reshape(-1, 8)
-            self.tables = [near[:, bytes_[:, k]] for k in range(8)]
+        def __init__(self, m: int, items: list[int], known: np.ndarray):
+            self.words, self.width, self.items, self.known = m, min(m, WIDTH), items, known
 
     def __init__(self, items: list[tuple[object, str | None]], threshold: float):
         self.threshold = threshold
+        same: dict[tuple[int, bytes], list] = defaultdict(list)
         by_size = defaultdict(list)
         for ident, text in items:
             h = Words([folded(text)]).hash
             if len(h):
-                by_size[len(h)].append((ident, _runs(h, min(len(h), WIDTH))))
-        self.sizes = [Index.Size(m, v) for m, v in sorted(by_size.items())]
+                runs = np.sort(_runs(h, min(len(h), WIDTH)))
+                same[len(h), runs.tobytes()].append(ident)
+        self.ids, bags = list(same.values()), []
+        for k, (m, body) in enumerate(same):
+            bags.append(np.frombuffer(body, np.uint64))
+            by_size[m].append(k)
+        self.bag = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
+        self.edge = np.cumsum([0, *map(len, bags)])
+        self.size = np.array([m for m, _ in same], np.int64)
+        self.prints = np.array([simhash(b) for b in bags], np.uint64).reshape(-1, BITS // 64)
+        blocks_ = self.prints.view(np.uint16).reshape(-1, KEYS)
+        # For each block the items by its value, and where each value begins.
+        self.order = [np.argsort(blocks_[:, k], kind="stable").astype(np.int32) for k in range(KEYS)]
+        self.start = [np.searchsorted(blocks_[self.order[k], k], np.arange((1 << 16) + 1)).astype(np.int32) for k in range(KEYS)]
+        self.sizes = [Index.Size(m, v, np.unique(np.concatenate([bags[i] for i in v]))) for m, v in sorted(by_size.items())]
         full = [s.known for s in self.sizes if s.width == WIDTH]
         self.any = np.unique(np.concatenate(full)) if full else np.zeros(0, np.uint64)
         self.sieve = np.zeros(1 << 20, bool)
@@ -107,6 +131,34 @@ class Index:
         self.short = [s for s in self.sizes if s.width < WIDTH]
         self.long = [s for s in self.sizes if s.width == WIDTH]
 
+    def probe(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) pairs that have a block within FLIPS bits, each once, in order."""
+        values = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, KEYS).astype(np.int64)
+        rows, items = [], []
+        for k in range(KEYS):
+            near = (values[:, k][:, None] ^ _BALL).ravel()
+            first = self.start[k][near]
+            count = self.start[k][near + 1] - first
+            hit = np.flatnonzero(count)
+            count, first = count[hit].astype(np.int64), first[hit].astype(np.int64)
+            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            rows.append(np.repeat(hit // len(_BALL), count))
+            items.append(self.order[k][at])
+        n = max(1, len(self.ids))
+        pairs = np.unique(np.concatenate(rows) * n + np.concatenate(items))
+        return pairs // n, pairs % n
+
+    def near(self, prints: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) pairs within RADIUS, of items with so many words."""
+        found = []
+        for at in range(0, len(prints), 256):
+            w, k = self.probe(prints[at : at + 256])
+            keep = self.size[k] == words
+            w, k = w[keep] + at, k[keep]
+            keep = distance(prints[w], self.prints[k]) <= RADIUS
+            found.append((w[keep], k[keep]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def hits(self, words: np.ndarray) -> list[tuple[object, float, int, int]]:
         """(item, similarity, first word, words) of every item that a text has a window for, the best window of each."""
         out = []
@@ -144,21 +196,19 @@ class Index:
             low, high = int(part[0]), int(part[-1]) + wide
             # Windows far apart are summed one by one, close ones from running sums.
             if high - low <= 8 * len(part) + 20_000:
-                sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(runs[low:high]), axis=0, dtype=np.int32)))
+                sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(_signs(runs[low:high]), axis=0, dtype=np.int32)))
                 prints = _pack(sums[part - low + wide] - sums[part - low])
             else:
                 prints = np.array([simhash(runs[i : i + wide]) for i in part], np.uint64)
-            bytes_ = prints.view(np.uint8).reshape(-1, 8)
-            found = np.zeros((len(part), len(s.ids)), bool)
-            for k in range(8):
-                found |= s.tables[k][bytes_[:, k]]
-            for w, k in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
-                if int(np.bitwise_count(prints[w] ^ s.prints[k])) <= RADIUS:
-                    start = int(part[w])
-                    score = similarity(Counter(runs[start : start + wide].tolist()), s.bags[k])
-                    if score >= self.threshold and score > best.get(k, (0.0, 0))[0]:
-                        best[k] = (score, start)
-        return [(s.ids[k], score, start, wide + s.width - 1) for k, (score, start) in sorted(best.items())]
+            window, bag = -1, Counter()
+            for w, k in zip(*(x.tolist() for x in self.near(prints, s.words)), strict=True):
+                start = int(part[w])
+                if window != w:
+                    window, bag = w, Counter(runs[start : start + wide].tolist())
+                score = similarity(bag, Counter(self.bag[self.edge[k] : self.edge[k + 1]].tolist()))
+                if score >= self.threshold and score > best.get(k, (0.0, 0))[0]:
+                    best[k] = (score, start)
+        return [(i, score, start, wide + s.width - 1) for k, (score, start) in sorted(best.items()) for i in self.ids[k]]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, threshold: float) -> Iterator[Index]:
@@ -171,11 +221,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, threshold: float
         yield Index([(r["item"], r["text"]) for r in block.collect()], threshold)
 
 
-def _hits(index: Index, item_type: str):
+def _hits(spark, index: Index, item_type: str):
     schema = f"items array<{item_type}>, similarities array<double>, starts array<int>, sizes array<int>"
+    shared = spark.sparkContext.broadcast(index)  # flat arrays of at most ITEMS items
 
     @F.pandas_udf(schema)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = shared.value
         for batch in texts:
             rows = []
             raw = [folded(t) for t in batch]
@@ -196,7 +248,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="te
     item_type = benchmark.schema[item_col].dataType.simpleString()
     out = None
     for index in _blocks(benchmark, item_col, item_text_col, threshold):
-        hits = docs.select(F.col(id_col).alias("id"), _hits(index, item_type)(F.col(text_col)).alias("h")).filter(F.size("h.items") > 0)
+        hits = docs.select(F.col(id_col).alias("id"), _hits(docs.sparkSession, index, item_type)(F.col(text_col)).alias("h")).filter(F.size("h.items") > 0)
         rows = hits.select("id", F.explode(F.arrays_zip("h.items", "h.similarities", "h.starts", "h.sizes")).alias("x"))
         rows = rows.select(F.col("id").alias(id_col), F.col("x.items").alias(item_col), F.col("x.similarities").alias("similarity"), F.col("x.starts").alias("start_word"), F.col("x.sizes").alias("n_words"))
         out = rows if out is None else out.unionByName(rows)
@@ -208,6 +260,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col="text", item_col="i
     item_type = benchmark.schema[item_col].dataType.simpleString()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     for index in _blocks(benchmark, item_col, item_text_col, threshold):
-        packed = docs.select(F.struct(*columns).alias("row"), F.size(_hits(index, item_type)(F.col(text_col)).getField("items")).alias("n"))
+        packed = docs.select(F.struct(*columns).alias("row"), F.size(_hits(docs.sparkSession, index, item_type)(F.col(text_col)).getField("items")).alias("n"))
         docs = packed.filter("n = 0").select("row.*")
     return docs
