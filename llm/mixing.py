@@ -10,11 +10,14 @@ A source's target then is met to the word: every document is taken `whole` times
 further repetition until the target is reached; the document that crosses it is repeated in part, up to the word that
 meets the target.
 
-Only built-in functions are used. The order within a source is cut into hash buckets, whose sums are small tables, so a
-source that holds a third of all words is spread over all buckets.
+Only built-in functions are used. The order within a source, by a hash of id and text, is cut into hash buckets, whose sums
+are small tables. A source's further repetition covers the buckets before the one in which its target is reached, and none
+after; only the rows of that one bucket are put in order, so no text but theirs is shuffled, however large a source is.
 
 Nulls and edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last; rows
-with equal ids are separate documents; with no words at all every target is 0.
+with equal ids are separate documents; rows with equal ids and texts (ties) are taken in any order, which changes no count
+of words; with no words at all every target is 0; an empty table gives an empty result; very long texts are counted and cut
+whole. Input columns named like the five of the mix are replaced, other names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from llm.session import work_table
+
+BUCKETS = 1 << 14
+#: So many sources are broadcast to the rows; more are joined, and texts shuffled for it.
+FEW_SOURCES = 10_000
 SPACE = r"[\x20\x09-\x0D]"
 OWN = ("mix_size", "mix_source_size", "mix_target", "mix_whole", "mix_part")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,13 +63,14 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     itself for a whole one). Input columns of these five names are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in OWN]
-    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    key = F.concat(F.lit(seed + ":"), F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-        F.col(source_col).alias("source"),
-        F.col(id_col).alias("id"),
+        F.col(f"`{source_col}`").alias("source"),
+        ident.alias("id"),
         F.coalesce(F.expr(f"regexp_count(`{text_col}`, r'{WORD}')"), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"),
+        F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
     ).withColumn("b", F.shiftright("h", 60 - (BUCKETS - 1).bit_length()).cast("int"))
 
     per_bucket = sized.groupBy("source", "b").agg(F.sum("size").alias("b_size"))
@@ -70,26 +78,39 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     goals = targets.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0))
     goals = goals.withColumn("extra", F.col("quota") - F.col("whole") * F.col("source_size"))
+    # The bucket in which the further repetition ends: the one that holds its last word, if it has one.
     base = F.sum("b_size").over(Window.partitionBy("source").orderBy("b")) - F.col("b_size")
-    info = per_bucket.withColumn("base", base).alias("p").join(goals.alias("g"), F.expr("p.source <=> g.source"))
-    info = info.select(F.col("p.source").alias("s"), F.col("p.b").alias("sb"), "base", "source_size", "target", "whole", "extra")
-    joined = sized.join(info, F.expr("source <=> s and b = sb"))
-    within = Window.partitionBy("s", "b").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = per_bucket.withColumn("base", base).alias("p").join(goals.alias("g"), F.expr("p.source <=> g.source and p.base < g.extra and p.base + p.b_size >= g.extra"))
+    edge = edge.select(F.col("p.source").alias("es"), F.col("p.b").alias("eb"), "base")
+    info = goals.join(edge, F.expr("source <=> es"), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", "extra", F.coalesce("eb", F.lit(-1)).alias("eb"), "base")
+    info = work_table(info, "mix")  # a row a source
+    joined = sized.join(F.broadcast(info) if info.count() <= FEW_SOURCES else info, F.expr("source <=> s"))
+    clear = joined.filter("b != eb").withColumn("part", F.when(F.col("b") < F.col("eb"), F.col("size")).otherwise(0))
+    within = Window.partitionBy("s").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     past = F.col("base") + F.sum("size").over(within) - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - past)).cast("long")
-    return joined.select(
+    split = joined.filter("b = eb").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - past)))
+    return clear.unionByName(split).select(
         "row", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
-        F.col("whole").cast("long").alias("mix_whole"), part.alias("mix_part"),
+        F.col("whole").cast("long").alias("mix_whole"), F.col("part").cast("long").alias("mix_part"),
     ).select("row.*", *OWN)
 
 
-def repeated(mixed: DataFrame, text_col="text") -> DataFrame:
-    """The rows of a mix as a corpus: each document as often as it is taken whole, and its first words for a partial repetition."""
+def repeated(mixed: DataFrame, text_col="text", chars_col: str | None = None) -> DataFrame:
+    """The rows of a mix as a corpus: each document as often as it is taken whole, and its first words for a partial repetition.
+
+    chars_col: a column with the number of characters of the text; it gets that of the part.
+    """
     columns = [c for c in mixed.columns if c not in OWN]
+    full = "mix_full"
+    while full in columns:
+        full += "_"
     whole = F.col("mix_part") == F.col("mix_size")
     cut = F.when(~whole & (F.col("mix_part") > 0), 1).otherwise(0)
     times = F.expr("array_repeat(true, cast(mix_whole + case when mix_part = mix_size and mix_size > 0 then 1 else 0 end as int))")
     flags = F.concat(times, F.when(cut == 1, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    runs = mixed.withColumn("mix_full", F.explode(flags))
+    runs = mixed.withColumn(full, F.explode(flags))
     words = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, r'{WORD}{SPACE}*', 0), 1, cast(mix_part as int)), '')")
-    return runs.withColumn(text_col, F.when(F.col("mix_full"), F.col(text_col)).otherwise(words)).select(*columns)
+    runs = runs.withColumn(text_col, F.when(F.col(full), F.col(text_col)).otherwise(words))
+    if chars_col in columns:
+        runs = runs.withColumn(chars_col, F.when(F.col(full), F.col(chars_col)).otherwise(F.length(text_col).cast(mixed.schema[chars_col].dataType)))
+    return runs.select(*[F.col(f"`{c}`") for c in columns])

@@ -27,7 +27,7 @@ FROM w LEFT JOIN n USING (r) LEFT JOIN low USING (r) LEFT JOIN k USING (r)
 
 OP3 = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({WORDS}) AS size, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  SELECT doc_id, source, len({WORDS}) AS size, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, source_size * 2 AS cap, (SELECT CAST(sum(source_size) AS DOUBLE) * 3 / 2 FROM s) AS goal FROM s),
