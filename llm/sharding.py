@@ -5,11 +5,14 @@ the cells are numbered along a Hilbert curve, rows are sorted by that number, an
 equal row counts (one apart at most). Consecutive cells of the curve are neighbours, so a shard covers a compact region and
 a filter on any of the dimensions opens few of them; `shard_stats` and `prune` keep and use the ranges.
 
-Within a cell rows with equal texts stand together. Rows are range-partitioned by the whole order, ids included, so a hot
-source, cell or text is spread over tasks.
-
-Edge cases: a null dimension is the lowest cell; a null text has size 1 and the checksum of the empty text; with fewer
-rows than shards the last shards stay empty; repeated rows get different slots.
+Rows with equal texts form a group, which stands at the least place of its rows on the curve, whatever their other
+dimensions; so a group lies in one shard unless a cut falls into it, which is the case for fewer groups than there are
+shards. Rows are range-partitioned by the whole order, ids included, so a hot source, cell or text is spread over tasks.
+
+Edge cases: a null dimension is the lowest cell; a null text has size 1 and the checksum of the empty text, and is in the
+group of the empty texts; with fewer rows than shards the last shards stay empty; repeated rows (ties of the whole order) get
+different slots; an empty table gives an empty result; very long texts are only measured and hashed; of the input only the
+id, the text and the dimensions are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.ordering import running
+from llm.session import work_table
 
 BITS = 4
 
@@ -66,10 +70,9 @@ def _cells(df: DataFrame, number_dims: list[str], string_dims: list[str], bits:
             at = F.size(F.filter(F.array(*map(F.lit, sorted(cuts[d] or [0.0]))), lambda c, v=F.col(d): c < v))
             df = df.withColumn(f"cell_{d}", F.when(F.col(d).isNull(), 0).otherwise(at))
     for d in string_dims:
-        values = df.select(F.col(d).alias("value")).distinct()
-        place = F.row_number().over(Window.orderBy(F.col("value").asc_nulls_first())) - 1
-        ranked = values.withColumn("place", place).withColumn("n", F.count("*").over(Window.partitionBy()))
-        cells = ranked.select("value", F.floor(F.col("place") * (top + 1) / F.col("n")).cast("int").alias(f"cell_{d}"))
+        ranked = running(df.select(F.col(d).alias("value")).distinct(), [F.col("value").asc_nulls_first()], name="values")
+        n = F.broadcast(ranked.agg(F.count("*").alias("n")))  # one row
+        cells = ranked.crossJoin(n).select("value", F.floor(F.col("position") * (top + 1) / F.col("n")).cast("int").alias(f"cell_{d}"))
         df = df.join(cells, F.col(d).eqNullSafe(F.col("value")), "left").drop("value")
     return df
 
@@ -81,7 +84,7 @@ def assign(docs: DataFrame, n_shards: int, *, id_col="doc_id", text_col="text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     others = [d for d in (*number_dims, *string_dims) if d not in ("size", id_col)]
-    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.col(d) for d in others])
+    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *[F.col(d) for d in others])
     rows = _cells(rows, list(number_dims), list(string_dims), bits)
     names = [f"cell_{d}" for d in (*number_dims, *string_dims)]
 
@@ -91,7 +94,11 @@ def assign(docs: DataFrame, n_shards: int, *, id_col="doc_id", text_col="text",
             yield pd.Series(hilbert_index(batch.to_numpy(np.int64), bits)) if len(batch) else pd.Series([], dtype="int64")
 
     rows = rows.withColumn("hilbert", index(F.struct(*names))).drop(*names)
-    placed = running(rows, [F.col("hilbert"), F.col("text_crc32"), F.xxhash64(id_col), F.col(id_col)], name="shards")
+    rows = work_table(rows, "curve")
+    group = ["size", "text_crc32", "text_hash"]
+    moved = rows.groupBy(*group).agg(F.min("hilbert").alias("least"), F.max("hilbert").alias("most")).filter("least < most").drop("most")
+    rows = rows.join(moved, group, "left").withColumn("at", F.coalesce("least", "hilbert")).drop("least")
+    placed = running(rows, [F.col("at"), *map(F.col, group), F.xxhash64(id_col), F.col(id_col)], name="shards").drop("at", "text_hash")
     total = placed.agg(F.count("*").alias("total"))
     placed = placed.crossJoin(F.broadcast(total))  # one row
     least, more = F.expr(f"total div {n_shards}"), F.expr(f"total % {n_shards}")
