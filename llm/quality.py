@@ -6,8 +6,12 @@ at the first rule that rejects it. The order decides only what is spent: a text
 
 The statistics count words (runs of bytes other than space and tab to carriage return) over whole texts.
 
+Cost is the time the rules take on an executor, so their order, and which of several rules that reject a text is named, may
+differ from run to run; what is kept doesn't. Rules of equal rejection per cost (ties) run in the order in which they are listed.
+
 Edge cases: null and empty texts have no words and fail the base rule; repeated rows get equal answers; an empty table
-gives an empty result (the cascade then keeps the order in which the rules are listed).
+gives an empty result (the cascade then keeps the order in which the rules are listed); very long texts are read whole;
+input columns named like an output column are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -106,24 +110,39 @@ class Cascade:
         return next((name for name in self.order if RULES[name](t)), None)
 
 
-def plan(texts: list[str | None]) -> Cascade:
-    """Order the rules by rejection per cost on a sample. A rule's cost includes the statistics it needs."""
-    cost, rejects = {}, {}
+def measure(texts: list[str | None]) -> dict[str, tuple[float, int]]:
+    """Seconds and rejections of each rule over texts. A rule's cost includes the statistics it needs."""
+    out = {}
     for name, rule in RULES.items():
         parsed = [Text(t) for t in texts]
         began = time.perf_counter()
-        out = [rule(t) for t in parsed]
-        cost[name] = (time.perf_counter() - began) / max(1, len(texts))
-        rejects[name] = sum(out) / max(1, len(texts))
-    order = sorted(RULES, key=lambda n: -rejects[n] / max(cost[n], 1e-9)) if texts else list(RULES)
+        rejected = sum(rule(t) for t in parsed)
+        out[name] = time.perf_counter() - began, rejected
+    return out
+
+
+def plan(n: int, found: dict[str, tuple[float, int]]) -> Cascade:
+    """Order the rules by rejection per cost, as measured on n texts."""
+    cost = {name: s / max(1, n) for name, (s, _) in found.items()}
+    rejects = {name: r / max(1, n) for name, (_, r) in found.items()}
+    order = sorted(RULES, key=lambda x: -rejects[x] / max(cost[x], 1e-9)) if n else list(RULES)
     return Cascade(order, cost, rejects)
 
 
 def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", rows: int = SAMPLE_ROWS) -> Cascade:
-    """Estimate on at most `rows` texts, the least by a hash of the id. Only ids are ranked; the texts of those follow."""
-    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.lit(4), F.col(id_col)).alias("h")).sort("h", "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
-    return plan([r["text"] for r in texts.select("text").limit(rows).collect()])
+    """Estimate on at most `rows` texts, the least by a hash of the id, one row an id. Only ids are ranked; the texts of those
+    follow and are measured where they are."""
+    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.lit(4), F.col(id_col)).alias("h")).distinct().sort("h", "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id")), "id", "left_semi")
+    texts = texts.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = measure([t if isinstance(t, str) else None for t in batch["text"]])
+            yield pd.DataFrame([(name, s, r, len(batch)) for name, (s, r) in found.items()], columns=["rule", "seconds", "rejected", "n"])
+
+    sums = texts.mapInPandas(run, "rule string, seconds double, rejected long, n long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
+    return plan(sums[0]["n"] if sums else 0, {r["rule"]: (r["s"], r["r"]) for r in sums} if sums else dict.fromkeys(RULES, (0.0, 0)))
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
