@@ -10,7 +10,8 @@ Fitting reads a bounded sample of labelled rows (`per_language` rows of each lan
 what reaches the driver is bounded by languages x profile size. Prediction reads whole texts, one at a time.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; with nothing to learn from, every text is `und`;
-repeated rows get equal answers; input columns other than the id are not passed on.
+null ids and null languages are not learned from; repeated rows get equal answers; an empty table gives an empty result; very
+long texts are counted whole; input columns named lang_pred or score are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -113,6 +114,8 @@ def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", p
         sample = sample.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= per_language)
     sample = sample.select("id").distinct()
     texts = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample) if sample.count() <= 1_000_000 else sample, "id", "left_semi")
+    # Of rows with one id and language the least by a hash of the text: ids may repeat, the bound is on rows.
+    texts = texts.groupBy("id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
