@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from llm.textkernel import Words, blocks, encode, mix, shingles, thrifty
 
 SKETCH_BITS = 20
 SLICE = 1 << 16
+TREE = 64
 FILTER_BITS = 23
 #: The dealt part holds the first common shingles of a link, the size over this number of them.
 COMMON = 4
@@ -91,26 +93,33 @@ def _survey(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 new = np.unique(sid, return_index=True)[1]
                 flat = np.concatenate([sets[i] for i in new])
                 counts += np.bincount((flat >> np.uint64(8)).astype(np.int64) & (len(counts) - 1), minlength=len(counts))
-                yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "n": [len(s) for s in sets], "sid": sid.astype(np.int64), "slice": -1, "body": None})
+                yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "n": [len(s) for s in sets], "sid": sid.astype(np.int64), "slice": -1, "task": 0, "body": None})
+        task = TaskContext.get().partitionId()
         for k in range(0, len(counts), SLICE):
             if counts[k : k + SLICE].any():
-                yield pd.DataFrame({"id": None, "n": 0, "sid": 0, "slice": [k // SLICE], "body": [zlib.compress(counts[k : k + SLICE].tobytes(), 1)]})
+                yield pd.DataFrame({"id": None, "n": 0, "sid": 0, "slice": [k // SLICE], "task": task, "body": [zlib.compress(counts[k : k + SLICE].tobytes(), 1)]})
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, body in zip(batch["slice"], batch["body"], strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(body), np.int64)
-        for k, counts in total.items():
-            level = np.minimum(255, 4 * np.log2(counts + 1.0)).astype(np.uint8)
-            yield pd.DataFrame({"slice": [k], "body": [level.tobytes()]})
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(SLICE, np.int64)
+        for body in group["body"]:
+            counts += np.frombuffer(zlib.decompress(body), np.int64)
+        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "task": [group["task"].iloc[0] // TREE], "body": [zlib.compress(counts.tobytes(), 1)]})
 
-    rows = docs.mapInPandas(thrifty(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, sid long, slice int, body binary")
+    rows = docs.mapInPandas(thrifty(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, sid long, slice int, task int, body binary")
     rows = work_table(rows, "survey")
-    sketch = rows.filter("slice >= 0").select("slice", "body").repartition((1 << SKETCH_BITS) // SLICE, "slice").mapInPandas(add, "slice int, body binary")
+    # Added up in a tree, `TREE` tasks' slices at a time, so no task reads more than that.
+    sketch = rows.filter("slice >= 0").select("slice", "task", "body")
+    tasks = sketch.agg(F.max("task")).first()[0] or 0
+    while True:
+        sketch = sketch.groupBy("slice", F.expr(f"task div {TREE}")).applyInPandas(lambda _, g: add(g), "slice int, task int, body binary")
+        tasks //= TREE
+        if not tasks:
+            break
+        sketch = work_table(sketch, "sketch")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in sketch.collect():  # sixteen rows of 64 KB at most
-        levels[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["body"], np.uint8)
+    for r in sketch.collect():  # sixteen rows of half a MB at most
+        counts = np.frombuffer(zlib.decompress(r["body"]), np.int64)
+        levels[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.minimum(255, 4 * np.log2(counts + 1.0)).astype(np.uint8)
     return rows.filter("slice < 0").select("id", "n", "sid"), levels
 
 
