@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -24,9 +25,11 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = _own.get("path") or _own.setdefault("path", "file://" + tempfile.mkdtemp(prefix="llm-work-"))
     return path
 
@@ -36,7 +39,33 @@ _own: dict[str, str] = {}
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def clean(spark: SparkSession | None = None) -> None:
+    """Delete the tables that operators have written on their way. Results not read yet may still need them."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit() -> None:
+    try:
+        clean()
+    except Exception:  # noqa: BLE001 - the session is gone already
+        pass
+
+
+atexit.register(_at_exit)
 
 
 def work_table(df: DataFrame, name: str) -> DataFrame:

@@ -61,3 +61,24 @@ def test_stages_with_no_rows_and_with_clashing_columns(spark, tmp_path):
                 assert out.columns == docs.columns
                 assert all((r["lang_pred"], r["score"], r["leader"], r["mix_size"], r["mix_part"]) == ("own", 1, 2, 3, 4) for r in got)
             assert k == 0 or got
+
+
+def test_repeated_ids_with_different_texts(spark, tmp_path):
+    import corpus_pipeline as p
+
+    base = prose(1, 60)
+    data = [(1, base, "en", "a", 5), (2, prose(2, 60), "en", "a", 5), (2, base + " more", "en", "a", 5), (3, prose(3, 50), "de", "b", 7), (3, prose(3, 50), "de", "b", 6), (None, prose(4, 50), "en", "a", 5), (None, prose(4, 50) + " x", "en", "a", 5), (-5, prose(2, 60), "en", "c", 1), (9, None, "en", "a", 0), (9, "", "en", "a", 0)]
+    docs = spark.createDataFrame(data, SCHEMA + ", n_chars long")
+    got = sorted((repr(r["doc_id"]), (r["text"] or "")[:9], r["n_chars"]) for r in p.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    kept = {x for x in got if x[0] == "None"}
+    assert len(kept) == 1 and sorted(x for x in got if x[0] != "None") == sorted([("1", base[:9], 5), ("-5", prose(2, 60)[:9], 1), ("3", prose(3, 50)[:9], 6), ("9", "", 0), ("9", "", 0)])
+
+
+def test_parts_have_their_own_length(spark, tmp_path):
+    import corpus_pipeline as p
+
+    data = [(i, prose(i, 30 + i), "en", "abc"[i % 3], len(prose(i, 30 + i))) for i in range(40)]
+    out = p.mix_sources(spark, spark.createDataFrame(data, SCHEMA + ", n_chars int"), str(tmp_path))
+    assert out.schema["n_chars"].dataType.simpleString() == "int"
+    rows_ = out.collect()
+    assert rows_ and all(r["n_chars"] == len(r["text"]) for r in rows_) and any(r["text"] not in {d[1] for d in data} for r in rows_)

@@ -108,6 +108,10 @@ def test_repeated_rows_of_a_mix(docs):
         total += len(WORD.findall(r["text"] or ""))
         assert any(d == r["doc_id"] and (t or "").startswith(r["text"] or "") for d, t in texts)
     assert total == want
+    more = mixed.withColumns({"mix_full": F.lit("own"), "n_chars": F.length("text")})
+    out = mixing.repeated(more, chars_col="n_chars")
+    assert out.columns == [*docs.columns, "mix_full", "n_chars"]
+    assert out.filter("mix_full != 'own' or n_chars != length(text)").count() == 0 and out.count() > 0
 
 
 # ---------------------------------------------------------------- quality
@@ -229,6 +233,11 @@ def test_sharding(spark, docs, clashing, empty):
         assert all(sorted(v) == list(range(len(v))) for v in by.values())
     want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows())
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    # Groups of equal texts: together in the order of shards and slots, and in one shard but for the cuts.
+    order = [(r["size"], r["text_crc32"]) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert len([1 for a, b in zip(order, order[1:], strict=False) if a != b]) + 1 == len(set(order))
+    apart = Counter(k for k, _ in {((r["size"], r["text_crc32"]), r["shard"]) for r in got})
+    assert sum(1 for n in apart.values() if n > 1) < 8
     assert sharding.assign(empty, 8).count() == 0
     few = sharding.assign(docs.limit(3), 8)
     assert sorted(r["shard"] for r in few.collect()) == [0, 1, 2]
