@@ -205,3 +205,139 @@ def inverse_mean_ratio(a: Vec, b: Vec, c: Vec) -> Column:
     s = area(a, b, c)
     e = dist2(a, b) + dist2(b, c) + dist2(c, a)
     return F.when(s > 0, e / (F.lit(4.0) * F.sqrt(F.lit(3.0)) * s)).otherwise(0.0)
+
+
+Plane = tuple[Vec, Column]
+
+
+def plane(normal: tuple, offset) -> Plane:
+    """The points p with unit normal . p = offset over the normal's length."""
+    n = tuple(x if isinstance(x, Column) else F.lit(float(x)) for x in normal)
+    length = norm(n)
+    return scale(n, 1 / length), (offset if isinstance(offset, Column) else F.lit(float(offset))) / length
+
+
+def plane_distance(p: Vec, at: Plane) -> Column:
+    """Signed: positive on the side the normal points to."""
+    return dot(p, at[0]) - at[1]
+
+
+def plane_project(p: Vec, at: Plane) -> Vec:
+    return sub(p, scale(at[0], plane_distance(p, at)))
+
+
+def plane_flip(at: Plane) -> Plane:
+    return scale(at[0], -1), -at[1]
+
+
+def plane_hit(o: Vec, d: Vec, at: Plane) -> Column:
+    """Time at which a line meets a plane; null where it runs along it."""
+    run = dot(d, at[0])
+    return F.when(run != 0, (at[1] - dot(o, at[0])) / run)
+
+
+def line_distance(p: Vec, a: Vec, b: Vec) -> Column:
+    """Of a point to the line through a and b."""
+    d = sub(b, a)
+    return norm(cross(sub(p, a), d)) / norm(d)
+
+
+def line_line_distance(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
+    """Of the lines through a, b and c, d; of parallel ones, of c to the first."""
+    n = cross(sub(b, a), sub(d, c))
+    return F.when(norm(n) > 0, F.abs(dot(sub(c, a), n)) / norm(n)).otherwise(line_distance(c, a, b))
+
+
+def ray_box(o: Vec, d: Vec, low: Vec, high: Vec) -> Column:
+    """Time at which a ray enters a box (0 from inside); null if it doesn't."""
+    enter, leave = F.lit(0.0), F.lit(float("inf"))
+    for x, v, lo, hi in zip(o, d, low, high, strict=True):
+        one, two = (lo - x) / v, (hi - x) / v
+        inside = (x >= lo) & (x <= hi)
+        enter = F.greatest(enter, F.when(v != 0, F.least(one, two)).when(inside, F.lit(0.0)).otherwise(F.lit(float("inf"))))
+        leave = F.least(leave, F.when(v != 0, F.greatest(one, two)).otherwise(F.lit(float("inf"))))
+    return F.when((enter <= leave) & (enter < float("inf")), enter)
+
+
+def segment_triangle(p: Vec, q: Vec, a: Vec, b: Vec, c: Vec) -> Column:
+    """Where between 0 and 1, both left out, a segment meets a triangle of either winding; null where it doesn't."""
+    t = ray_triangle(p, sub(q, p), a, b, c)
+    return F.when((t > 0) & (t < 1), t)
+
+
+def box_class(inner_low: Vec, inner_high: Vec, low: Vec, high: Vec) -> Column:
+    """Of one box against another: inside, outside (no point in common) or intersect."""
+    into, out = F.lit(True), F.lit(False)
+    for a, b, lo, hi in zip(inner_low, inner_high, low, high, strict=True):
+        into, out = into & (a >= lo) & (b <= hi), out | (b < lo) | (a > hi)
+    return F.when(out, "outside").when(into, "inside").otherwise("intersect")
+
+
+def box_union(a: tuple[Vec, Vec], b: tuple[Vec, Vec]) -> tuple[Vec, Vec]:
+    return tuple(F.least(x, y) for x, y in zip(a[0], b[0], strict=True)), tuple(F.greatest(x, y) for x, y in zip(a[1], b[1], strict=True))  # type: ignore[return-value]
+
+
+def box_meet(a: tuple[Vec, Vec], b: tuple[Vec, Vec]) -> tuple[Vec, Vec]:
+    """Lower ends above upper ones where they don't meet."""
+    return tuple(F.greatest(x, y) for x, y in zip(a[0], b[0], strict=True)), tuple(F.least(x, y) for x, y in zip(a[1], b[1], strict=True))  # type: ignore[return-value]
+
+
+def box_enlarge(a: tuple[Vec, Vec], by) -> tuple[Vec, Vec]:
+    return tuple(x - by for x in a[0]), tuple(x + by for x in a[1])  # type: ignore[return-value]
+
+
+def box_axis(low: Vec, high: Vec, longest: bool = True) -> Column:
+    """0, 1 or 2: the longest or the shortest axis, of equal ones the first."""
+    sides = sub(high, low)
+    best = F.greatest(*sides) if longest else F.least(*sides)
+    return F.when(sides[0] == best, 0).when(sides[1] == best, 1).otherwise(2)
+
+
+def in_triangle(px, py, ax, ay, bx, by, cx, cy) -> Column:
+    """Of a plane point: inside or on the border, for either winding."""
+    turns = [left_turn(ax, ay, bx, by, px, py), left_turn(bx, by, cx, cy, px, py), left_turn(cx, cy, ax, ay, px, py)]
+    up, down = F.lit(True), F.lit(True)
+    for t in turns:
+        up, down = up & (t >= 0), down & (t <= 0)
+    return up | down
+
+
+def circumcentre(ax, ay, bx, by, cx, cy) -> tuple[Column, Column]:
+    """Of a plane triangle; null where it is degenerate."""
+    d = 2 * left_turn(ax, ay, bx, by, cx, cy)
+    b2, c2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay), (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)
+    return F.when(d != 0, ax + ((cy - ay) * b2 - (by - ay) * c2) / d), F.when(d != 0, ay + ((bx - ax) * c2 - (cx - ax) * b2) / d)
+
+
+def triangles_meet(one: tuple[Vec, Vec, Vec], two: tuple[Vec, Vec, Vec]) -> Column:
+    """Whether two triangles have points in common: none of the axes that can part them does. Touching counts.
+
+    The axes are both normals, the nine products of edges and, for triangles in one plane, the six normals of edges in it.
+    """
+    e1 = [sub(one[(k + 1) % 3], one[k]) for k in range(3)]
+    e2 = [sub(two[(k + 1) % 3], two[k]) for k in range(3)]
+    n1, n2 = cross(e1[0], e1[1]), cross(e2[0], e2[1])
+    axes = [n1, n2, *[cross(x, y) for x in e1 for y in e2], *[cross(n1, x) for x in e1], *[cross(n2, y) for y in e2]]
+    met = F.lit(True)
+    for axis in axes:
+        a, b = [dot(axis, p) for p in one], [dot(axis, p) for p in two]
+        met = met & (F.greatest(*a) >= F.least(*b)) & (F.greatest(*b) >= F.least(*a))
+    return met
+
+
+def quaternion_rotate(p: Vec, q: tuple) -> Vec:
+    """A point turned by the unit quaternion (w, x, y, z)."""
+    w, v = q[0], q[1:]
+    t = scale(cross(v, p), 2)
+    return add(add(p, scale(t, w)), cross(v, t))
+
+
+def axis_quaternion(axis: Vec, angle) -> tuple:
+    """The unit quaternion of a turn about an axis."""
+    n, half = norm(axis), angle / 2
+    return (F.cos(half), *scale(axis, F.sin(half) / n))
+
+
+def from_spherical(r: Column, theta: Column, phi: Column) -> Vec:
+    """From radius, angle to z and angle in the plane."""
+    return r * F.sin(theta) * F.cos(phi), r * F.sin(theta) * F.sin(phi), r * F.cos(theta)

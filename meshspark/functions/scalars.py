@@ -107,3 +107,46 @@ def base_name(c: Column) -> Column:
 
 def extension(c: Column) -> Column:
     return F.regexp_extract(c, r"\.([^./]*)$", 1)
+
+
+def cubic_extrema(b: Column, c: Column, d: Column) -> Column:
+    """Where a + b x + c x**2 + d x**3 has its extrema, ascending."""
+    return quadratic_roots(3 * d, 2 * c, b)
+
+
+def i_div(a: Column, b: Column) -> Column:
+    """Null where the divisor holds zero."""
+    q = [x / y for x in (a["min"], a["max"]) for y in (b["min"], b["max"])]
+    return F.when((b["min"] > 0) | (b["max"] < 0), interval(F.least(*q), F.greatest(*q)))
+
+
+def i_cube(a: Column) -> Column:
+    return interval(a["min"] * a["min"] * a["min"], a["max"] * a["max"] * a["max"])
+
+
+def i_sqrt(a: Column) -> Column:
+    """Of the part that isn't negative; null without any."""
+    return F.when(a["max"] >= 0, interval(F.sqrt(F.greatest(a["min"], F.lit(0.0))), F.sqrt(a["max"])))
+
+
+def i_power(a: Column, k: int) -> Column:
+    """A whole power of at least 1."""
+    p, q = F.pow(a["min"], F.lit(float(k))), F.pow(a["max"], F.lit(float(k)))
+    if k % 2:
+        return interval(p, q)
+    return interval(F.when((a["min"] <= 0) & (a["max"] >= 0), 0.0).otherwise(F.least(p, q)), F.greatest(p, q))
+
+
+def i_sign(a: Column) -> Column:
+    """1, -1, or 0 where the interval holds zero."""
+    return F.when(a["min"] > 0, 1).when(a["max"] < 0, -1).otherwise(0)
+
+
+def i_poly(x: Column, *coefficients: float) -> Column:
+    """Bounds of a polynomial of at most third degree, exact: at the ends and at the extrema within."""
+    a, b, c, d = (float(k) for k in (*coefficients, 0, 0, 0, 0)[:4])
+    at = F.array(x["min"], x["max"])
+    inner = cubic_extrema(F.lit(b), F.lit(c), F.lit(d)) if d else F.array(F.lit(-b / (2 * c))) if c else F.array().cast("array<double>")
+    at = F.concat(at, F.filter(inner, lambda t: (t > x["min"]) & (t < x["max"])))
+    values = F.transform(at, lambda t: poly(t, a, b, c, d))
+    return interval(F.array_min(values), F.array_max(values))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshspark.shared import shared_dir
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir; a temporary folder where that is unset."""
+    """Checkpoint into the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshspark-"))
+        sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -68,3 +68,25 @@ def distances(edges: DataFrame, seeds: DataFrame, cap: float) -> DataFrame:
         moved = new.join(best.withColumnRenamed("d", "old"), "v", "left").filter("old is null or d < old").select("v", "d")
         best = new
     return best
+
+
+def walk_loops(edges: DataFrame) -> DataFrame:
+    """loop, pos, v: the vertices of closed loops of edges (a to b, one out of each vertex) in order from the least, which names it.
+
+    By pointer doubling: after k rounds a vertex knows the least one within 2**k steps, and then how far after it it stands.
+    """
+    now = settled(edges.select("a", F.col("b").alias("to"), F.least("a", "b").alias("low")))
+    while True:
+        hop = now.select(F.col("a").alias("to"), F.col("to").alias("far"), F.col("low").alias("their"))
+        new = settled(now.join(hop, "to").select("a", F.col("far").alias("to"), F.least("low", "their").alias("low"), (F.least("low", "their") < F.col("low")).alias("moved")))
+        now = new.drop("moved")
+        if not new.filter("moved").take(1):
+            break
+    low = settled(now.select(F.col("a").alias("v"), F.col("low").alias("loop")))
+    # Steps back to the least vertex, whose own step is none.
+    back = edges.join(low.withColumnRenamed("v", "b"), "b")
+    far = settled(back.select(F.col("b").alias("v"), F.when(F.col("b") == F.col("loop"), F.col("b")).otherwise(F.col("a")).alias("to"), F.when(F.col("b") == F.col("loop"), 0).otherwise(1).alias("pos"), "loop"))
+    while far.filter("to <> loop").take(1):
+        hop = far.select(F.col("v").alias("to"), F.col("to").alias("next"), F.col("pos").alias("more"))
+        far = settled(far.join(hop, "to").select("v", F.col("next").alias("to"), (F.col("pos") + F.col("more")).alias("pos"), "loop"))
+    return far.select("loop", "pos", "v")

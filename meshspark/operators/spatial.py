@@ -88,6 +88,17 @@ def overlaps(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
     return met.select("l", "r").distinct()
 
 
+def triangle_overlaps(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
+    """l, r: triangles (l or r, ax .. cz) with points in common: boxes that meet, then the exact test."""
+    sides = []
+    for df, name in ((left, "l"), (right, "r")):
+        ends = {end + c: f(*[p + c for p in "abc"]) for end, f in (("lo", F.least), ("hi", F.greatest)) for c in "xyz"}
+        sides.append((df.select(name, *[v.alias(k) for k, v in ends.items()]), df.select(name, *[F.col(p + c).alias(name + p + c) for p in "abc" for c in "xyz"])))
+    met = overlaps(sides[0][0], sides[1][0], side).join(sides[0][1], "l").join(sides[1][1], "r")
+    one, two = ([g.vec(name + p) for p in "abc"] for name in "lr")
+    return met.filter(g.triangles_meet(one, two)).select("l", "r")
+
+
 def in_tets(points: DataFrame, tets: DataFrame, side: float) -> DataFrame:
     """id, t: the tetrahedra (t, ax .. dz) a point lies in; of several the one of least id."""
     for c in "xyz":

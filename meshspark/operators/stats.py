@@ -43,3 +43,15 @@ def equalize(df: DataFrame, column: str, bins: int) -> DataFrame:
     n = binned.groupBy("bin").agg(F.count("*").alias("n"))
     cum = n.withColumn("c", F.sum("n").over(Window.orderBy("bin"))).withColumn("total", F.sum("n").over(Window.partitionBy()))  # one row a bin
     return binned.join(F.broadcast(cum.select("bin", (F.col("c") / F.col("total")).alias("level"))), "bin")
+
+
+def sample(df: DataFrame, ident: str, n: int, seed: str = "sample-1") -> DataFrame:
+    """n rows (all, if there are fewer) drawn without repetition: the least by a hash of seed and id, the same on every run."""
+    return df.sort(F.md5(F.concat(F.lit(seed + ":"), F.col(ident).cast("string"))), ident).limit(n)
+
+
+def quantile_bin(histogram: DataFrame, q: float) -> DataFrame:
+    """One row, bin: the least bin of (bin, n) at which the running count reaches q of all. Bins are few."""
+    order = Window.orderBy("bin")
+    run = histogram.select("bin", F.sum("n").over(order).alias("run"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    return run.filter(F.col("run") >= q * F.col("all")).agg(F.min("bin").alias("bin"))

@@ -49,7 +49,10 @@ def visibility_front(spark, sf):
     return octree.visible_first(_cells(spark, sf), 448, 3, 300)
 
 
-@query("SELECT CAST(2 * (3 + 7 * 2) + CASE WHEN 0.25 <= 0.4 THEN 1 ELSE 1 END AS INT) AS f", "surf_f")
+_TURNS = [f"(({q}x - {p}x) * (2.4::DOUBLE - {p}y) - ({q}y - {p}y) * (3.25::DOUBLE - {p}x))" for p, q in ("ab", "bc", "ca")]
+
+
+@query(f"SELECT arg_max(f, az + bz + cz) AS f FROM surf_t WHERE {' AND '.join(f'{t} >= 0' for t in _TURNS)} OR {' AND '.join(f'{t} <= 0' for t in _TURNS)}", "surf_t")
 def ray_pick(spark, sf):
     """The triangle under a point"""
     return octree.pick(fx.surf_t(spark, sf), (3.25, 2.4, 100.0), (0.0, 0.0, -1.0)).select("f")
@@ -124,10 +127,10 @@ def curve_curvature(spark, sf):
     return curves.curvature(_rows(spark, sf), 2.5)
 
 
-@query("WITH c AS (SELECT x, y, z, value FROM vox), e AS (SELECT CAST(count(*) AS BIGINT) AS n FROM c a JOIN c b ON b.x = a.x + 1 AND b.y = a.y AND b.z = a.z WHERE (a.value < 4.00001) <> (b.value < 4.00001)) SELECT n AS crossings FROM e", "vox")
-def crossings_along_x(spark, sf):
-    """Crossings of grid edges along x"""
-    return volume.crossings(fx.vox(spark, sf), fx.ISO).filter("axis = 0").agg(F.count("*").alias("crossings"))
+@query(" UNION ALL ".join(f"SELECT {k} AS axis, count(*) AS crossings FROM vox a JOIN vox b ON b.x = a.x + {int(k == 0)} AND b.y = a.y + {int(k == 1)} AND b.z = a.z + {int(k == 2)} WHERE (a.value < 4.00001) <> (b.value < 4.00001)" for k in range(3)), "vox")
+def crossings_along_axes(spark, sf):
+    """Crossings of grid edges along each axis"""
+    return volume.crossings(fx.vox(spark, sf), fx.ISO).groupBy(F.col("axis").cast("int").alias("axis")).agg(F.count("*").alias("crossings"))
 
 
 @query()
@@ -141,21 +144,17 @@ def marching_cubes_statistics(spark, sf):
     return per.agg(F.count("*").alias("cells"), F.sum("n").alias("tris"), F.sum("area").alias("area"), F.sum(w).alias("w_cells"), F.sum(F.col("n") * w).alias("w_tris"), F.sum(F.col("area") * w).alias("w_area"))
 
 
-@query("SELECT p.id, round(min(sqrt(greatest(0.0, (p.x - x0) ** 2))), 6) + 0e0 AS d FROM (SELECT id, x, y, z FROM pts WHERE id < 40) p, (SELECT 0.0::DOUBLE AS x0) GROUP BY p.id", "pts")
+@query("SELECT id, round((x + 2 * y - 2 * z - 0.75::DOUBLE) / 3, 6) + 0e0 AS d, round(sqrt((y - z) ** 2 + (z - x) ** 2 + (x - y) ** 2) / sqrt(3), 6) + 0e0 AS line FROM pts", "pts")
 def plane_distance(spark, sf):
-    """Distance of points to the plane x = 0"""
-    return fx.pts(spark, sf).filter("id < 40").select("id", r6(F.abs("x"), "d"))
-
-
-@query()
-def plane_distance_all(spark, sf):
-    """Distance of every point to the plane x = 0"""
-    return fx.pts(spark, sf).select("id", r6(F.abs("x"), "d"))
+    """Signed distance of points to a plane, and distance to the line through 0 and (1, 1, 1)"""
+    one = tuple(F.lit(1.0) for _ in "xyz")
+    plane = g.plane((1.0, 2.0, -2.0), 0.75)
+    return fx.pts(spark, sf).select("id", r6(g.plane_distance(g.vec(), plane), "d"), r6(g.line_distance(g.vec(), tuple(F.lit(0.0) for _ in "xyz"), one), "line"))
 
 
-def _tri_d2(spark, sf, which="id < 60"):
+def _tri_d2(spark, sf):
     t = fx.surf_t(spark, sf)
-    p = fx.pts(spark, sf).filter(which).select("id", *[(3.5 + 1.5 * F.col(c)).alias(c) for c in "xyz"])
+    p = fx.pts(spark, sf).select("id", *[(3.5 + 1.5 * F.col(c)).alias(c) for c in "xyz"])
     return t, p
 
 
@@ -165,25 +164,19 @@ def _sql_seg(p, q):
 
 
 @query(
-    "WITH p AS (SELECT id, 3.5 + 1.5 * x AS x, 3.5 + 1.5 * y AS y, 3.5 + 1.5 * z AS z FROM pts WHERE id < 60), m AS (SELECT id, f, " + ", ".join(f"{n} AS n{c}" for c, n in zip("xyz", _cross("a", "b", "c"), strict=True)) + f", least({_sql_seg('a', 'b')}, {_sql_seg('b', 'c')}, {_sql_seg('c', 'a')}) AS e2, surf_t.*, x, y, z FROM p, surf_t), d AS (SELECT id, e2, nx * nx + ny * ny + nz * nz AS n2, (x - ax) * nx + (y - ay) * ny + (z - az) * nz AS h, "
+    "WITH p AS (SELECT id, 3.5 + 1.5 * x AS x, 3.5 + 1.5 * y AS y, 3.5 + 1.5 * z AS z FROM pts), m AS (SELECT id, f, " + ", ".join(f"{n} AS n{c}" for c, n in zip("xyz", _cross("a", "b", "c"), strict=True)) + f", least({_sql_seg('a', 'b')}, {_sql_seg('b', 'c')}, {_sql_seg('c', 'a')}) AS e2, surf_t.*, x, y, z FROM p, surf_t), d AS (SELECT id, e2, nx * nx + ny * ny + nz * nz AS n2, (x - ax) * nx + (y - ay) * ny + (z - az) * nz AS h, "
     + " + ".join(f"({n}) * n{c}" for c, n in zip("xyz", [x.replace("by", "y").replace("bx", "x").replace("bz", "z") for x in _cross("a", "b", "c")], strict=True)) + " AS v, "
     + " + ".join(f"({n}) * n{c}" for c, n in zip("xyz", [x.replace("cy", "y").replace("cx", "x").replace("cz", "z") for x in _cross("a", "b", "c")], strict=True)) + " AS w FROM m) SELECT id, round(sqrt(min(CASE WHEN v >= 0 AND w >= 0 AND v + w <= n2 THEN h * h / n2 ELSE e2 END)), 5) + 0e0 AS d FROM d GROUP BY id",
     "pts", "surf_t",
 )
-def nearest_triangle(spark, sf, which="id < 60"):
+def nearest_triangle(spark, sf):
     """Distance of points to the mesh, by candidate boxes of growing reach"""
     from meshspark.operators import spatial
 
-    t, p = _tri_d2(spark, sf, which)
+    t, p = _tri_d2(spark, sf)
     return spatial.nearest_triangle(p, t, 2.0).select("id", (F.round(F.sqrt("d2"), 5) + 0.0).alias("d"))
 
 
-@query()
-def nearest_triangle_all(spark, sf):
-    """Distance of every point to the mesh"""
-    return nearest_triangle(spark, sf, "true")
-
-
 @query()
 def advancing_front(spark, sf):
     """Four blocks of the height field meshed by advancing fronts, with heights"""
@@ -191,7 +184,7 @@ def advancing_front(spark, sf):
     return front.lift(front.mesh_blocks(blocks, 0.5), fx.surf_v(spark, sf))
 
 
-@query("SELECT CAST(b AS INT) AS block, 12.25::DOUBLE AS area FROM range(4) r(b)")
+@query("SELECT CAST(2 * i + j AS INT) AS block, round((i * 3.5 + 3.5 - i * 3.5) * (j * 3.5 + 3.5 - j * 3.5), 6)::DOUBLE AS area FROM range(2) a(i), range(2) b(j)")
 def advancing_front_area(spark, sf):
     """The plane area that each block's front covers"""
     t = advancing_front(spark, sf)
@@ -199,14 +192,22 @@ def advancing_front_area(spark, sf):
     return t.groupBy("block").agg((F.round(F.sum(a), 6) + 0.0).alias("area"))
 
 
-_WD = {"x": surface.weight_derivatives(0.25, 1), "y": surface.weight_derivatives(0.5, 0), "z": surface.weight_derivatives(0.75, 0)}
-_GX = " * ".join(f"(CASE d{c} WHEN -1 THEN {w[0]!r} WHEN 0 THEN {w[1]!r} WHEN 1 THEN {w[2]!r} ELSE {w[3]!r} END)::DOUBLE" for c, w in _WD.items())
+_AT = {"x": 0.25, "y": 0.5, "z": 0.75}
+
 
+def _weights(*orders: int) -> str:
+    """Product of the spline's weights along the axes, each of that derivative."""
+    w = {c: surface.weight_derivatives(u, k) for (c, u), k in zip(_AT.items(), orders, strict=True)}
+    return " * ".join(f"(CASE d{c} WHEN -1 THEN {x[0]!r} WHEN 0 THEN {x[1]!r} WHEN 1 THEN {x[2]!r} ELSE {x[3]!r} END)::DOUBLE" for c, x in w.items())
 
-@query(f"WITH n AS ({_NEAR.format(w=1, m=4)}) SELECT x, y, z, round(sum(round({_GX} * value, 10)), 5) + 0e0 AS gx FROM n WHERE x < 7 AND y < 7 AND z < 7 GROUP BY x, y, z", "vox")
+
+_GRADIENT = {"gx": (1, 0, 0), "gy": (0, 1, 0), "gz": (0, 0, 1), "value": (0, 0, 0)}
+
+
+@query(f"WITH n AS ({_NEAR.format(w=1, m=4)}) SELECT x, y, z, {', '.join(f'round(sum(round({_weights(*k)} * value, 10)), 5) + 0e0 AS {n}' for n, k in _GRADIENT.items())} FROM n WHERE x < 7 AND y < 7 AND z < 7 GROUP BY x, y, z", "vox")
 def spline_gradient(spark, sf):
     """Derivatives of the tri-cubic spline"""
-    return surface.spline_field(fx.vox(spark, sf), (8, 8, 8), (0.25, 0.5, 0.75)).select("x", "y", "z", (F.round("gx", 5) + 0.0).alias("gx"))
+    return surface.spline_field(fx.vox(spark, sf), (8, 8, 8), (0.25, 0.5, 0.75)).select("x", "y", "z", *[(F.round(c, 5) + 0.0).alias(c) for c in _GRADIENT])
 
 
 @query()
@@ -236,18 +237,8 @@ def iso_seeds(spark, sf):
     return surface.seeds(t.select("e0", "e1", "e2"))
 
 
-@query("WITH d AS (SELECT q.id AS q, p.id AS id, p.label, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS d2 FROM pts q, pts p WHERE q.id < 20), r AS (SELECT q, id, d2, CAST(row_number() OVER (PARTITION BY q ORDER BY d2, id) AS INT) AS rank FROM d) SELECT q, rank, id, round(d2, 6) + 0e0 AS d2 FROM r WHERE rank <= 3", "pts")
+@query("WITH d AS (SELECT q.id AS q, p.id AS id, p.label, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS d2 FROM pts q, pts p), r AS (SELECT q, id, d2, CAST(row_number() OVER (PARTITION BY q ORDER BY d2, id) AS INT) AS rank FROM d) SELECT q, rank, id, round(d2, 6) + 0e0 AS d2 FROM r WHERE rank <= 3", "pts")
 def merged_nearest(spark, sf):
-    """Nearest points merged from block-wise streams"""
-    p = fx.pts(spark, sf)
-    q = p.filter("id < 20").select(F.col("id").alias("q"), *[F.col(c).alias("q" + c) for c in "xyz"])
-    s = p.crossJoin(F.broadcast(q))  # twenty stated queries against all rows
-    s = s.select("q", "id", F.col("label").alias("block"), g.dist2(g.vec("q"), g.vec()).alias("d2"))
-    return surface.merged_nearest(s, 3).select("q", "rank", "id", r6("d2", "d2"))
-
-
-@query()
-def merged_nearest_all(spark, sf):
     """Nearest points of every point merged from block-wise streams, each block searched by growing cells"""
     from meshspark.operators import spatial
 

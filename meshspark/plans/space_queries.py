@@ -18,87 +18,51 @@ D2 = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z
 # ---------------------------------------------------------------- points
 
 
-def _queries(spark, sf, step: int):
-    return fx.pts_big(spark, sf).filter(F.col("id") % step == 0).select(F.col("id").alias("q"), "x", "y", "z")
+def _queries(spark, sf):
+    return fx.pts_big(spark, sf).select(F.col("id").alias("q"), "x", "y", "z")
 
 
-@query(f"WITH q AS (SELECT * FROM pts_big WHERE id % 10 = 0), d AS (SELECT q.id AS q, p.id AS id, {D2} AS d2 FROM q JOIN pts_big p ON true), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY d2, id) AS INT) AS rank FROM d) SELECT q, rank, id, {s6('d2', 'd2')} FROM r WHERE rank <= 5", "pts_big")
-def knn_join(spark, sf, step=10):
+@query(f"WITH q AS (SELECT * FROM pts_big), d AS (SELECT q.id AS q, p.id AS id, {D2} AS d2 FROM q JOIN pts_big p ON true), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY d2, id) AS INT) AS rank FROM d) SELECT q, rank, id, {s6('d2', 'd2')} FROM r WHERE rank <= 5", "pts_big")
+def knn_join(spark, sf):
     """The five nearest points in order"""
-    return spatial.knn(_queries(spark, sf, step), fx.pts_big(spark, sf), 5, 8.0).select("q", "rank", "id", r6("d2", "d2"))
+    return spatial.knn(_queries(spark, sf), fx.pts_big(spark, sf), 5, 8.0).select("q", "rank", "id", r6("d2", "d2"))
 
 
-@query()
-def knn_join_all(spark, sf):
-    """The five nearest points in order, at every point"""
-    return knn_join(spark, sf, 1)
-
-
-@query(f"WITH q AS (SELECT * FROM pts_big WHERE id % 3 = 0) SELECT q.id AS q, count(*) AS n, CAST(sum(p.id) AS BIGINT) AS total FROM q JOIN pts_big p ON {D2} <= 36 GROUP BY q.id", "pts_big")
-def radius_join(spark, sf, step=3):
+@query(f"WITH q AS (SELECT * FROM pts_big) SELECT q.id AS q, count(*) AS n, CAST(sum(p.id) AS BIGINT) AS total FROM q JOIN pts_big p ON {D2} <= 36 GROUP BY q.id", "pts_big")
+def radius_join(spark, sf):
     """Points within a radius"""
-    return spatial.within(_queries(spark, sf, step), fx.pts_big(spark, sf), 6.0).groupBy("q").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
-
-
-@query()
-def radius_join_all(spark, sf):
-    """Points within a radius, at every point"""
-    return radius_join(spark, sf, 1)
+    return spatial.within(_queries(spark, sf), fx.pts_big(spark, sf), 6.0).groupBy("q").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
 
 
-@query(f"WITH q AS (SELECT id, x + 0.5 AS x, y + 0.5 AS y, z + 0.5 AS z FROM pts_big WHERE id % 7 = 0) SELECT q.id AS q, arg_min(p.id, ({D2}, p.id)) AS id FROM q JOIN pts_big p ON true GROUP BY q.id", "pts_big")
-def nearest_point(spark, sf, step=7):
+@query(f"WITH q AS (SELECT id, x + 0.5 AS x, y + 0.5 AS y, z + 0.5 AS z FROM pts_big) SELECT q.id AS q, arg_min(p.id, ({D2}, p.id)) AS id FROM q JOIN pts_big p ON true GROUP BY q.id", "pts_big")
+def nearest_point(spark, sf):
     """The nearest point"""
-    q = _queries(spark, sf, step).select("q", *[(F.col(c) + 0.5).alias(c) for c in "xyz"])
+    q = _queries(spark, sf).select("q", *[(F.col(c) + 0.5).alias(c) for c in "xyz"])
     return spatial.nearest(q, fx.pts_big(spark, sf), 8.0).select("q", "id")
 
 
-@query()
-def nearest_point_all(spark, sf):
-    """The nearest point, at every point"""
-    return nearest_point(spark, sf, 1)
-
-
-@query(f"WITH q AS (SELECT id, x, y, z FROM pts_big WHERE id % 5 = 0), d AS (SELECT q.id AS q, sqrt({D2}) AS d, row_number() OVER (PARTITION BY q.id ORDER BY {D2}, p.id) AS r FROM q JOIN pts_big p ON true) SELECT q AS id, {s6('d', 'radius')} FROM d WHERE r = 7", "pts_big")
-def point_radii(spark, sf, step=5):
+@query(f"WITH q AS (SELECT id, x, y, z FROM pts_big), d AS (SELECT q.id AS q, sqrt({D2}) AS d, row_number() OVER (PARTITION BY q.id ORDER BY {D2}, p.id) AS r FROM q JOIN pts_big p ON true) SELECT q AS id, {s6('d', 'radius')} FROM d WHERE r = 7", "pts_big")
+def point_radii(spark, sf):
     """M1: distance to the sixth neighbour"""
     pts = fx.pts_big(spark, sf)
-    q = _queries(spark, sf, step)
+    q = _queries(spark, sf)
     return spatial.knn(q, pts, 7, 8.0).filter("rank = 7").select(F.col("q").alias("id"), r6(F.sqrt("d2"), "radius"))
 
 
-@query()
-def point_radii_all(spark, sf):
-    """M1: distance to the sixth neighbour, at every point"""
-    return point_radii(spark, sf, 1)
-
-
-@query(f"WITH q AS (SELECT * FROM pts_big WHERE id % 4 = 0), n AS (SELECT q.id AS q, {D2} AS d2, p.x, p.y, p.z FROM q JOIN pts_big p ON {D2} < 144), w AS (SELECT *, (1 - 2 * (d2 / 144) + (d2 / 144) * (d2 / 144)) AS w FROM n) SELECT q, count(*) AS n, {', '.join(f'round(sum(round(w * {c}, 10)) / sum(round(w, 10)), 5) + 0e0 AS {c}' for c in 'xyz')} FROM w GROUP BY q", "pts_big")
-def shepard_means(spark, sf, step=4):
+@query(f"WITH q AS (SELECT * FROM pts_big), n AS (SELECT q.id AS q, {D2} AS d2, p.x, p.y, p.z FROM q JOIN pts_big p ON {D2} < 144), w AS (SELECT *, (1 - 2 * (d2 / 144) + (d2 / 144) * (d2 / 144)) AS w FROM n) SELECT q, count(*) AS n, {', '.join(f'round(sum(round(w * {c}, 10)) / sum(round(w, 10)), 5) + 0e0 AS {c}' for c in 'xyz')} FROM w GROUP BY q", "pts_big")
+def shepard_means(spark, sf):
     """M3, M4: weighted means"""
-    s = mls.shepard(_queries(spark, sf, step), fx.pts_big(spark, sf), 12.0)
+    s = mls.shepard(_queries(spark, sf), fx.pts_big(spark, sf), 12.0)
     return s.select("q", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
 
 
-@query()
-def shepard_means_all(spark, sf):
-    """M3, M4: weighted means, at every point"""
-    return shepard_means(spark, sf, 1)
-
-
-@query(f"WITH q AS (SELECT * FROM pts_big WHERE id % 4 = 0), n AS (SELECT q.id AS q, {D2} AS d2, p.x, p.y, p.z FROM q JOIN pts_big p ON {D2} < 144), w AS (SELECT *, (1 - 2 * (d2 / 144) + (d2 / 144) * (d2 / 144)) AS w FROM n), s AS (SELECT q, count(*) AS n, sum(w) AS w, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * z) AS sz, sum(w * x * x) AS sxx, sum(w * x * z) AS sxz FROM w GROUP BY q) SELECT q, n, round(sx / w, 5) + 0e0 AS mx, round(sxx / w - sx / w * (sx / w), 4) + 0e0 AS cxx, round(sxz / w - sx / w * (sz / w), 4) + 0e0 AS cxz FROM s", "pts_big")
-def weighted_moments(spark, sf, step=4):
+@query(f"WITH q AS (SELECT * FROM pts_big), n AS (SELECT q.id AS q, {D2} AS d2, p.x, p.y, p.z FROM q JOIN pts_big p ON {D2} < 144), w AS (SELECT *, (1 - 2 * (d2 / 144) + (d2 / 144) * (d2 / 144)) AS w FROM n), s AS (SELECT q, count(*) AS n, sum(w) AS w, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * z) AS sz, sum(w * x * x) AS sxx, sum(w * x * z) AS sxz FROM w GROUP BY q) SELECT q, n, round(sx / w, 5) + 0e0 AS mx, round(sxx / w - sx / w * (sx / w), 4) + 0e0 AS cxx, round(sxz / w - sx / w * (sz / w), 4) + 0e0 AS cxz FROM s", "pts_big")
+def weighted_moments(spark, sf):
     """M5, M6: moments for plane fits"""
-    m = mls.moments(_queries(spark, sf, step), fx.pts_big(spark, sf), 12.0)
+    m = mls.moments(_queries(spark, sf), fx.pts_big(spark, sf), 12.0)
     return m.select("q", "n", (F.round("mx", 5) + 0.0).alias("mx"), (F.round("cxx", 4) + 0.0).alias("cxx"), (F.round("cxz", 4) + 0.0).alias("cxz"))
 
 
-@query()
-def weighted_moments_all(spark, sf):
-    """M5, M6: moments for plane fits, at every point"""
-    return weighted_moments(spark, sf, 1)
-
-
 @query()
 def plane_fits(spark, sf):
     """Plane normals at points"""
@@ -108,7 +72,7 @@ def plane_fits(spark, sf):
 @query()
 def projected_points(spark, sf):
     """Projection to a local quadric, curvatures and ideal lengths"""
-    return mls.curvature_lengths(mls.project(_queries(spark, sf, 1), fx.pts_big(spark, sf), 15.0), 0.5, 0.1, 5.0)
+    return mls.curvature_lengths(mls.project(_queries(spark, sf), fx.pts_big(spark, sf), 15.0), 0.5, 0.1, 5.0)
 
 
 _STEP = "1 + (id % 97) / 10.0::DOUBLE"
@@ -121,19 +85,12 @@ def guidance_trim(spark, sf):
     return field.trim(f, 0.8).select("id", F.round("step", 6).alias("step"))
 
 
-@query(f"WITH q AS (SELECT * FROM pts_big WHERE id % 4 = 1), f AS (SELECT *, {_STEP} AS ideal FROM pts_big WHERE id % 2 = 0) SELECT q.id AS q, round(greatest(0.5, least(4.0, min(0.2 * sqrt({D2}) + 0.8 * ideal))), 6) + 0e0 AS step FROM q JOIN f p ON true GROUP BY q.id", "pts_big")
+@query(f"WITH q AS (SELECT * FROM pts_big), f AS (SELECT *, {_STEP} AS ideal FROM pts_big) SELECT q.id AS q, round(greatest(0.5, least(4.0, min(0.2 * sqrt({D2}) + 0.8 * ideal))), 6) + 0e0 AS step FROM q JOIN f p ON true GROUP BY q.id", "pts_big")
 def step_lengths(spark, sf):
     """A2: least step over the field"""
-    q = fx.pts_big(spark, sf).filter("id % 4 = 1").select(F.col("id").alias("q"), "x", "y", "z")
-    f = fx.pts_big(spark, sf).filter("id % 2 = 0").withColumn("ideal", 1 + (F.col("id") % 97) / F.lit(10.0))
-    return field.step_lengths(q, f, 0.8, 0.5, 4.0).select("q", r6("step", "step"))
-
-
-@query()
-def step_lengths_all(spark, sf):
-    """A2: least step over the whole field, at every point"""
+    q = fx.pts_big(spark, sf).select(F.col("id").alias("q"), "x", "y", "z")
     f = fx.pts_big(spark, sf).withColumn("ideal", 1 + (F.col("id") % 97) / F.lit(10.0))
-    return field.step_lengths(_queries(spark, sf, 1), f, 0.8, 0.5, 4.0).select("q", r6("step", "step"))
+    return field.step_lengths(q, f, 0.8, 0.5, 4.0).select("q", r6("step", "step"))
 
 
 @query("WITH p AS (SELECT id, 3.5 + 0.9 * x AS x, 3.5 + 0.9 * y AS y, 3.5 + 0.9 * z AS z FROM pts), n AS (SELECT id, x, y, z, CAST(floor(x) AS INT) AS cx, CAST(floor(y) AS INT) AS cy, CAST(floor(z) AS INT) AS cz, x - floor(x) AS u, y - floor(y) AS v, z - floor(z) AS w FROM p WHERE x > 0 AND x < 7 AND y > 0 AND y < 7 AND z > 0 AND z < 7) SELECT id, 6 * (cx + 7 * cy + 49 * cz) + CASE WHEN u >= v AND v >= w THEN 0 WHEN u >= w AND w >= v THEN 1 WHEN v >= u AND u >= w THEN 2 WHEN v >= w AND w >= u THEN 3 WHEN w >= u AND u >= v THEN 4 ELSE 5 END AS t FROM n", "pts")

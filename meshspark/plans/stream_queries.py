@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from meshspark import fixtures as fx
 from meshspark.plans.mesh_queries import NORMALS
 from meshspark.plans.registry import query, s6
+from meshspark.shared import fresh
 from meshspark.streaming import mesh_stream as ms
 
 BATCHES = 4
@@ -17,8 +15,7 @@ BATCHES = 4
 
 def _run(spark, sf, name: str):
     """Two meshes, their events in four micro-batches."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshspark-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = fresh(spark, "stream")
     events = fx.mev(spark, sf).withColumn("m", F.explode(F.array(F.lit(0), F.lit(1))))
     events = events.select("m", F.col("seq").cast("long").alias("seq"), "kind", "v", "x", "y", "z", "t0", "t1", "t2")
     step = 98_000 // BATCHES

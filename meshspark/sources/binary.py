@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshspark.sources.files import contents
+
 from meshspark.sources.text import XYZ, _double, _numbered
 
 #: Fixed values of the point-set format.
@@ -27,7 +29,7 @@ def _parsed(spark: SparkSession, path: str, parse: Callable[[bytes], pd.DataFram
             for content in batch["content"]:
                 yield parse(bytes(content))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return contents(spark, path).select("content").mapInPandas(run, schema)
 
 
 def _sst(content: bytes) -> pd.DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshspark.sources.files import contents
+
 XYZ = ["x", "y", "z"]
 
 
@@ -23,7 +25,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered(spark: SparkSession, path: str, comments: bool = True) -> DataFrame:
     """n, w: lines of one file in order. A file is a row of binaryFile, so the order is that of its bytes."""
-    text = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("t"))
+    text = contents(spark, path).select(F.col("content").cast("string").alias("t"))
     lines = text.select(F.posexplode(F.split("t", r"\r?\n")).alias("n", "value"))
     line = F.trim(F.regexp_replace("value", r"#.*$", "")) if comments else F.trim("value")
     return lines.select("n", line.alias("line")).filter("line <> ''").select("n", "line", F.split("line", r"\s+").alias("w"))
@@ -160,7 +162,7 @@ def read_flf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                         out.append(("l", k, pos, int(i), float(x), float(y), float(z), False))
                 yield pd.DataFrame(out, columns=["kind", "loop", "pos", "i", "x", "y", "z", "is_corner"])
 
-    text = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("t"))
+    text = contents(spark, path).select(F.col("content").cast("string").alias("t"))
     rows = text.mapInPandas(parse, "kind string, loop int, pos int, i int, x double, y double, z double, is_corner boolean")
     points = rows.filter("kind = 'p'").select("i", *XYZ, "is_corner")
     return points, rows.filter("kind = 'l'").select("loop", "pos", "i", *[F.col(c).alias("n" + c) for c in XYZ])

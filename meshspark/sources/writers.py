@@ -67,6 +67,32 @@ def write_points(points: DataFrame, path: str) -> None:
     _text(parts, path)
 
 
+def write_points_all(points: DataFrame, path: str) -> None:
+    """`v` lines, and a `vn` line for every point, so that both are in one order."""
+    lines = [points.select(F.col("id").alias("k"), F.concat_ws(" ", F.lit(tag), *[_number(p + c) for c in "xyz"]).alias("line")) for tag, p in (("v", ""), ("vn", "n"))]
+    _text(lines, path)
+
+
+def write_lengths(lengths: DataFrame, path: str) -> None:
+    """(id, ideal): one length a line, in order of the points."""
+    _text([lengths.select(F.col("id").alias("k"), _number("ideal").alias("line"))], path)
+
+
+def write_flf(points: DataFrame, loops: DataFrame, path: str) -> None:
+    """points(id, x, y, z, is_corner) and loops(loop, pos, id, nx, ny, nz): counts, points with corner flags, and each loop's
+    members as `index nx ny nz`."""
+    from pyspark.sql import Window
+
+    spark = points.sparkSession
+    order = points.select("id", F.row_number().over(Window.orderBy("id")).alias("k"))
+    flat = points.select(F.col("id").alias("k"), F.concat_ws(" ", *[_number(c) for c in "xyz"], F.col("is_corner").cast("int").cast("string")).alias("line"))
+    line = F.concat_ws(" ", (F.col("k") - 1).cast("string"), *[_number("n" + c) for c in "xyz"])
+    rows = loops.join(order, "id").groupBy("loop").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("m"))
+    body = rows.select(F.col("loop").alias("k"), F.concat_ws("\n", F.size("m").cast("string"), F.array_join("m.line", "\n")).alias("line"))
+    counts = [spark.createDataFrame([(0, str(n))], "k long, line string") for n in (points.count(), rows.count())]
+    _text([counts[0], flat, counts[1], body], path)
+
+
 def write_stream(events: DataFrame, path: str) -> None:
     """An event list as a streaming mesh: `v`, `f` from 1 and `x` lines in order.
 
@@ -89,3 +115,15 @@ def write_pc(points: DataFrame, path: str) -> None:
     head = spark.createDataFrame([(0, "PC file\n# x y z corner\n#\n#\n#\n# points"), (1, str(points.count()))], "k long, line string")
     body = points.select(F.col("id").alias("k"), F.concat_ws(" ", *[_number(c) for c in "xyz"], F.col("is_corner").cast("int").cast("string")).alias("line"))
     _text([head, body], path)
+
+
+def write_ppm(image: DataFrame, path: str, top: int) -> None:
+    """(u, v, value) as a text image of grey pixels, a line of it a row v; missing pixels are black."""
+    spark = image.sparkSession
+    size = image.agg(F.max("u").alias("u"), F.max("v").alias("v")).first()
+    width, height = (int(size["u"]) + 1, int(size["v"]) + 1) if size["u"] is not None else (0, 0)
+    head = spark.createDataFrame([(0, f"P3\n{width} {height}\n{top}")], "k long, line string")
+    rows = image.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("u", F.greatest(F.lit(0), F.least(F.lit(top), F.col("value").cast("int"))).alias("c")))).alias("m"))
+    rows = spark.range(height).select(F.col("id").cast("int").alias("v")).join(rows, "v", "left")
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda u: F.repeat(F.concat(F.coalesce(F.try_element_at("m", u), F.lit(0)).cast("string"), F.lit(" ")), F.lit(3)))
+    _text([head, rows.select(F.col("v").alias("k"), F.rtrim(F.array_join(pixel, "")).alias("line"))], path)

@@ -44,22 +44,22 @@ def check_ranked(rows, want):
 
 def test_nearest_points(spark, sf, big):
     ids, at, d2 = big
-    check_ranked(got("knn_join_all", spark, sf, ("q", "rank")), ranked(ids, d2, 5))
+    check_ranked(got("knn_join", spark, sf, ("q", "rank")), ranked(ids, d2, 5))
     moved = ((at[:, None] + 0.5 - at[None]) ** 2).sum(axis=2)
-    near = got("nearest_point_all", spark, sf, ("q",))
+    near = got("nearest_point", spark, sf, ("q",))
     assert {k: r["id"] for (k,), r in near.items()} == {q: i for (q, _), (i, _) in ranked(ids, moved, 1).items()}
-    radii = got("point_radii_all", spark, sf, ("id",))
+    radii = got("point_radii", spark, sf, ("id",))
     assert {k: r["radius"] for (k,), r in radii.items()} == pytest.approx({q: np.sqrt(d) for (q, k), (_, d) in ranked(ids, d2, 7).items() if k == 7}, abs=1e-6)
 
 
 def test_neighbourhoods(spark, sf, big):
     ids, at, d2 = big
-    near = got("radius_join_all", spark, sf, ("q",))
+    near = got("radius_join", spark, sf, ("q",))
     assert {q: (r["n"], r["total"]) for (q,), r in near.items()} == {q: ((m := d2[i] <= 36).sum(), ids[m].sum()) for i, q in enumerate(ids)}
     s = d2 / 144
     w = np.where(s < 1, (1 - s) ** 2, 0)
     mean = w @ at / w.sum(axis=1)[:, None]
-    shepard, moments = got("shepard_means_all", spark, sf, ("q",)), got("weighted_moments_all", spark, sf, ("q",))
+    shepard, moments = got("shepard_means", spark, sf, ("q",)), got("weighted_moments", spark, sf, ("q",))
     assert {q for (q,) in shepard} == {q for (q,) in moments} == set(ids.tolist())
     for i, q in enumerate(ids):
         assert (shepard[q,]["x"], shepard[q,]["y"], shepard[q,]["z"]) == pytest.approx(tuple(mean[i]), abs=2e-5)
@@ -88,20 +88,20 @@ def test_step_lengths(spark, sf, big):
     ids, _, d2 = big
     ideal = 1 + (ids % 97) / 10
     want = np.clip((0.2 * np.sqrt(d2) + 0.8 * ideal[None]).min(axis=1), 0.5, 4)
-    rows = got("step_lengths_all", spark, sf, ("q",))
+    rows = got("step_lengths", spark, sf, ("q",))
     assert {q: r["step"] for (q,), r in rows.items()} == pytest.approx(dict(zip(ids.tolist(), want.tolist(), strict=True)), abs=1e-6)
 
 
 def test_vectors(spark, sf):
     ids, at, d2 = pairs(fx.pts(spark, sf))
-    plane = got("plane_distance_all", spark, sf, ("id",))
-    assert {i: r["d"] for (i,), r in plane.items()} == pytest.approx(dict(zip(ids.tolist(), np.abs(at[:, 0]).tolist(), strict=True)), abs=1e-6)
-    check_ranked(got("merged_nearest_all", spark, sf, ("q", "rank")), ranked(ids, d2, 3))
+    plane = got("plane_distance", spark, sf, ("id",))
+    assert {i: r["d"] for (i,), r in plane.items()} == pytest.approx(dict(zip(ids.tolist(), ((at @ [1, 2, -2] - 0.75) / 3).tolist(), strict=True)), abs=1e-6)
+    check_ranked(got("merged_nearest", spark, sf, ("q", "rank")), ranked(ids, d2, 3))
 
 
 def test_nearest_triangles(spark, sf):
     p = fx.pts(spark, sf).select("id", *[(3.5 + 1.5 * F.col(c)).alias(c) for c in "xyz"])
     every = p.crossJoin(fx.surf_t(spark, sf)).groupBy("id").agg(F.min(g.triangle_distance2(g.vec(), *[g.vec(c) for c in "abc"])).alias("d2"))
     want = {r["id"]: r["d2"] ** 0.5 for r in every.collect()}
-    rows = got("nearest_triangle_all", spark, sf, ("id",))
+    rows = got("nearest_triangle", spark, sf, ("id",))
     assert {i: r["d"] for (i,), r in rows.items()} == pytest.approx(want, abs=2e-5)
