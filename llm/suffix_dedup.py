@@ -7,7 +7,9 @@ as they come in, so overlaps count and no removal depends on another.
    anchors at equal places. The bytes that windows with one anchor can cover are its segment. Anchors are dealt out by hash
    with a fingerprint of their segment: where only one document has an anchor, no window is shared. Equal segments are
    collapsed first (within a task before anything is shuffled): all windows of a copy lie in the segment of the first
-   document that has it, so they fall with it.
+   document that has it, so they fall with it. Equal here means an equal anchor hash (52 bits and more) and an equal
+   fingerprint of length, place and bytes (48 bits), by polynomial hashes; bytes are not compared, so of 2**50 segments two
+   unlike ones would be taken for equal with a chance of about 1 in 2.
 2. Shards. Segments that share an anchor but differ are cut out of the texts and gathered by anchor, in shards of bounded
    size. In a shard a suffix array is refined by doubling, sorting only groups that aren't settled yet (Larsson-Sadakane),
    and longest common prefixes follow by Kasai's scan, run for all segments side by side. Runs with a common prefix of at
@@ -16,8 +18,11 @@ as they come in, so overlaps count and no removal depends on another.
    sorted windows carried over. Anchors with very many different segments are dealt out by window instead, so that no
    carried list grows without bound.
 
-Ids are integers. Edge cases: null and empty texts have nothing to remove; a null id counts as larger than all others; rows
-with equal ids never remove each other's bytes; an empty table gives an empty result.
+Ids are integers below 2**62; another type is a TypeError. Edge cases: null and empty texts have nothing to remove; a null id
+counts as larger than all others, and null ids as equal; rows with equal ids never remove each other's bytes, and repeated
+rows get equal answers; of strings that start in several documents (ties) the least id is the first; an empty table gives an
+empty result; a very long text is read whole, in memory in proportion to it; other columns aren't read, so their names can't
+clash.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.session import partitions, work_table
 from llm.textkernel import blocks, encode, mix, strings
 
 GRAM = 16
-LAST = (1 << 63) - 1
+#: Rows without an id stand from here on, each text at a place of its own; they count as equal, and larger than all others.
+LAST = 1 << 62
 SHARD_SEGMENTS = 30_000
 HOT_SEGMENTS = 20_000
 BLOCK = 1_500_000
@@ -44,6 +51,16 @@ _LOW48 = np.uint64((1 << 48) - 1)
 FULL, NEED, HOT = 0, 1, 2
 
 
+def rank(doc: np.ndarray) -> np.ndarray:
+    """Ids as they are compared."""
+    return np.minimum(doc, LAST)
+
+
+def codes_of(key: np.ndarray, mark: np.ndarray, bits: int) -> np.ndarray:
+    """61 bits of a segment's anchor and mark, by which a document is told what becomes of it."""
+    return (mix(((key >> np.uint64(bits)) & _LOW48) * _PLACES[0] ^ mark * _PLACES[1]) >> np.uint64(3)).astype(np.int64)
+
+
 class Anchors:
     """The anchors of a batch of texts: text, key (hash of the gram), begin and end of the segment in the buffer, mark."""
 
@@ -101,12 +118,16 @@ def _firsts(key: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     start = np.ones(len(key), bool)
     start[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
     first = doc[np.flatnonzero(start)][np.cumsum(start) - 1] if len(key) else doc
-    return order, doc > first
+    return order, rank(doc) > rank(first)
+
+
+def _bits(texts: DataFrame) -> int:
+    return max(4, (2 * partitions(texts.sparkSession) - 1).bit_length())
 
 
 def _verdicts(texts: DataFrame, width: int) -> DataFrame:
-    """(doc, code): for each anchor that documents share, mark * 4 + FULL, NEED or HOT."""
-    bits = max(4, (2 * partitions(texts.sparkSession) - 1).bit_length())
+    """(doc, code): for each anchor that documents share, `codes_of` it * 4 + FULL, NEED or HOT."""
+    bits = _bits(texts)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[tuple] = []
@@ -117,7 +138,7 @@ def _verdicts(texts: DataFrame, width: int) -> DataFrame:
             bucket = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
             order, copy = _firsts(key, mark, doc)
             bucket, key, mark, doc = bucket[order], key[order], mark[order], doc[order]
-            lost = [(bucket[copy], mark[copy], doc[copy])]
+            lost = [(bucket[copy], codes_of(key[copy], mark[copy], bits).view(np.uint64), doc[copy])]
             again = np.zeros(len(key), bool)
             again[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])
             keep = ~copy & ~again
@@ -128,7 +149,7 @@ def _verdicts(texts: DataFrame, width: int) -> DataFrame:
                 first = np.flatnonzero(np.diff(b, prepend=-1))
                 for x, y in zip(first.tolist(), np.append(first[1:], len(b)).tolist(), strict=False):
                     row = rows.setdefault(int(b[x]), {"bucket": int(b[x]), "keys": b"", "marks": b"", "docs": b"", "lost_marks": b"", "lost_docs": b""})
-                    row[name + "marks"] = np.ascontiguousarray(m[x:y].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    row[name + "marks"] = np.ascontiguousarray(m[x:y].view(np.uint8).reshape(-1, 8)[:, : 6 if k is not None else 8]).tobytes()
                     row[name + "docs"] = _pack(d[x:y])
                     if k is not None:
                         row["keys"] = np.ascontiguousarray((k[o][x:y] >> np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -150,7 +171,7 @@ def _verdicts(texts: DataFrame, width: int) -> DataFrame:
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         key, mark = _six(group["keys"]), _six(group["marks"])
         doc = _unpack(group["docs"])
-        lost_mark, lost_doc = _six(group["lost_marks"]), _unpack(group["lost_docs"])
+        lost, lost_doc = np.frombuffer(b"".join(map(bytes, group["lost_marks"])), np.int64), _unpack(group["lost_docs"])
         sort = np.argsort(key, kind="stable")
         start = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[sort][1:] != key[sort][:-1])))
         count = np.diff(np.append(start, len(key)))
@@ -166,13 +187,15 @@ def _verdicts(texts: DataFrame, width: int) -> DataFrame:
         count = np.diff(np.append(start, len(k)))
         if len(k):
             least, most = np.minimum.reduceat(d, start), np.maximum.reduceat(d, start)
-            need = np.repeat((count > 1) & (least < most), count)
+            need = np.repeat((count > 1) & (rank(least) < rank(most)), count)
             kind = np.where(np.repeat(count, count) > HOT_SEGMENTS, HOT, NEED)[need]
         else:
             need, kind = np.zeros(0, bool), np.zeros(0, np.int64)
         docs = np.concatenate((doc[copy], lost_doc, d[need]))
-        codes = np.concatenate((mark[copy] * np.uint64(4) + np.uint64(FULL), lost_mark * np.uint64(4) + np.uint64(FULL), m[need] * np.uint64(4) + kind.astype(np.uint64)))
-        return pd.DataFrame({"doc": docs, "code": codes.astype(np.int64)})
+        # Keys come without their lowest bits, which are the bucket's.
+        code = lambda a, b: codes_of(a << np.uint64(bits), b, bits)
+        codes = np.concatenate((code(key[copy], mark[copy]) * 4 + FULL, lost * 4 + FULL, code(k[need], m[need]) * 4 + kind))
+        return pd.DataFrame({"doc": docs, "code": codes})
 
     dealt = texts.mapInPandas(deal, "bucket int, keys binary, marks binary, docs binary, lost_marks binary, lost_docs binary")
     return dealt.groupBy("bucket").applyInPandas(meet, "doc long, code long")
@@ -313,23 +336,26 @@ def covered(rows: np.ndarray, length: np.ndarray, doc: np.ndarray, width: int) -
     lcp = common_prefixes(rows, length, order, width)
     start = np.flatnonzero(lcp < width)
     least = np.minimum.reduceat(doc[order // rows.shape[1]], start)
-    lost = doc[order // rows.shape[1]] > np.repeat(least, np.diff(np.append(start, len(order))))
+    lost = rank(doc[order // rows.shape[1]]) > np.repeat(rank(least), np.diff(np.append(start, len(order))))
     return order[lost] // rows.shape[1], order[lost] % rows.shape[1], order
 
 
-def _runs(doc: np.ndarray, at: np.ndarray, width: int) -> pd.DataFrame:
-    """Windows as maximal byte runs of each document."""
-    o = np.lexsort((at, doc))
-    doc, at = doc[o], at[o]
+def _runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray, width: int) -> pd.DataFrame:
+    """Windows as maximal byte runs of each row."""
+    o = np.lexsort((at, row, doc))
+    doc, row, at = doc[o], row[o], at[o]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + width)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] > at[:-1] + width)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
-    return pd.DataFrame({"doc": doc[first], "begin": at[first], "end": at[last] + width})
+    return pd.DataFrame({"doc": doc[first], "row": row[first], "begin": at[first], "end": at[last] + width})
 
 
 def _shards(segments: DataFrame, width: int) -> DataFrame:
-    """segments(key, doc, at, body) -> (doc, begin, end): bytes that a smaller document has too."""
+    """segments(key, doc, row, at, body) -> (doc, row, begin, end): bytes that a smaller document has too.
+
+    row tells rows of one id apart.
+    """
 
     def windows(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
         wide = rows.shape[1]
@@ -345,18 +371,18 @@ def _shards(segments: DataFrame, width: int) -> DataFrame:
             length = np.fromiter(map(len, bodies), np.int64, len(bodies))
             wide = int(length.max())
             rows = np.frombuffer(b"".join(b.ljust(wide, b"\0") for b in bodies), np.uint8).reshape(-1, wide)
-            key, doc, at = (part[c].to_numpy(np.int64) for c in ("key", "doc", "at"))
+            key, doc, row, at = (part[c].to_numpy(np.int64) for c in ("key", "doc", "row", "at"))
             keep = _sieve(rows, length, width) | (key == key[0]) | (key == key[-1])
-            rows, length, key, doc, at = rows[keep], length[keep], key[keep], doc[keep], at[keep]
+            rows, length, key, doc, row, at = rows[keep], length[keep], key[keep], doc[keep], row[keep], at[keep]
             r, c, order = covered(rows, length, doc, width)
-            found = [(doc[r], at[r] + c)]
+            found = [(doc[r], row[r], at[r] + c)]
             if carried is not None and carried[0] == key[0]:
                 mine = order[key[order // wide] == key[0]]
                 w = windows(rows, mine)
                 p = np.searchsorted(carried[1], w)
                 p[p == len(carried[1])] = 0
-                hit = (carried[1][p] == w) & (carried[2][p] < doc[mine // wide])
-                found.append((doc[mine[hit] // wide], at[mine[hit] // wide] + mine[hit] % wide))
+                hit = (carried[1][p] == w) & (rank(carried[2][p]) < rank(doc[mine // wide]))
+                found.append((doc[mine[hit] // wide], row[mine[hit] // wide], at[mine[hit] // wide] + mine[hit] % wide))
             last = int(key[-1])
             mine = order[key[order // wide] == last]
             w, d = windows(rows, mine), doc[mine // wide]
@@ -367,9 +393,9 @@ def _shards(segments: DataFrame, width: int) -> DataFrame:
             new = np.ones(len(w), bool)
             new[1:] = w[1:] != w[:-1]
             carried = (last, w[new], d[new])
-            found_doc, found_at = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(found_doc):
-                yield _runs(found_doc, found_at, width)
+            lost = [np.concatenate(x) for x in zip(*found, strict=True)]
+            if len(lost[0]):
+                yield _runs(*lost, width)
 
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -381,7 +407,7 @@ def _shards(segments: DataFrame, width: int) -> DataFrame:
 
     n = partitions(segments.sparkSession)
     dealt = segments.repartition(n, "key").sortWithinPartitions("key", "doc", "at")
-    return dealt.mapInPandas(run, "doc long, begin long, end long")
+    return dealt.mapInPandas(run, "doc long, row long, begin long, end long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -392,21 +418,26 @@ def dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 50,
 
     With text_out also kept_bytes, the bytes that are left.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
-    verdicts = work_table(_verdicts(texts, width), "verdicts")
-    codes = verdicts.groupBy("doc").agg(F.collect_list("code").alias("codes"), F.max(F.expr("code & 3")).alias("most"))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer")
+    ident, text = F.col(id_col).cast("long"), F.col(text_col)
+    ident = F.when(ident >= LAST, F.raise_error(F.lit("ids must be below 2**62")).cast("long")).otherwise(ident)
+    texts = docs.select(F.coalesce(ident, F.lit(LAST) + F.xxhash64(text).bitwiseAND(F.lit(LAST - 1))).alias("id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    bits = _bits(texts)
+    verdicts = work_table(_verdicts(texts.select("id", "text"), width), "verdicts")
+    codes = verdicts.groupBy("doc").agg(F.collect_set("code").alias("codes"), F.max(F.expr("code & 3")).alias("most"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, raw in _batches(batch):
                 a = Anchors(raw, width)
                 sub = batch.iloc[part]
-                ids = sub["id"].to_numpy(np.int64)
+                ids, own = sub["id"].to_numpy(np.int64), sub["row"].to_numpy(np.int64)
                 edge = np.searchsorted(a.text, np.arange(len(raw) + 1))
                 rows = []
                 for i, codes in enumerate(sub["codes"]):
                     codes = np.asarray(codes, np.int64)
-                    mark = a.mark[edge[i] : edge[i + 1]].astype(np.int64)
+                    mark = codes_of(a.key[edge[i] : edge[i + 1]], a.mark[edge[i] : edge[i + 1]], bits)
                     for kind in (NEED, HOT):
                         wanted = codes[codes & 3 == kind] >> 2
                         if not len(wanted):
@@ -415,12 +446,12 @@ def dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 50,
                             b, e, o = int(a.begin[k]), int(a.end[k]), int(a.offset[i])
                             body = raw[i][b - o : e - o]
                             if kind == NEED:
-                                rows.append((int(a.key[k].astype(np.int64)), ids[i], b - o, body))
+                                rows.append((int(a.key[k].astype(np.int64)), ids[i], own[i], b - o, body))
                             else:
                                 h = strings(np.frombuffer(body, np.uint8), width).astype(np.int64)
-                                rows.extend((int(h[j]), ids[i], b - o + j, body[j : j + width]) for j in range(len(h)))
+                                rows.extend((int(h[j]), ids[i], own[i], b - o + j, body[j : j + width]) for j in range(len(h)))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["key", "doc", "at", "body"])
+                    yield pd.DataFrame(rows, columns=["key", "doc", "row", "at", "body"])
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>" + ", kept_bytes binary" * text_out
 
@@ -439,7 +470,7 @@ def dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 50,
                     if i in where:
                         s = slice(edge[where[i]], edge[where[i] + 1])
                         codes = np.asarray(codes, np.int64)
-                        full = np.isin(a.mark[s].astype(np.int64), codes[codes & 3 == FULL] >> 2)
+                        full = np.isin(codes_of(a.key[s], a.mark[s], bits), codes[codes & 3 == FULL] >> 2)
                         begins.append((a.begin[s] - a.offset[where[i]])[full])
                         ends.append((a.end[s] - a.offset[where[i]])[full])
                     if runs is not None and len(runs):
@@ -460,11 +491,11 @@ def dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 50,
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    judged = texts.join(codes, F.col("id") == F.col("doc"), "left").select("id", "text", "codes", "most")
-    segments = judged.filter(F.col("most") > 0).select("id", "text", "codes").mapInPandas(cut, "key long, doc long, at long, body binary")
-    runs = _shards(segments, width).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    done = judged.join(runs, F.col("id") == F.col("doc"), "left").select("id", "text", "codes", "runs").mapInPandas(finish, schema)
-    return done.withColumn("id", F.when(F.col("id") != LAST, F.col("id"))).withColumnRenamed("id", id_col)
+    judged = texts.join(codes, F.col("id") == F.col("doc"), "left").select("id", "row", "text", "codes", "most")
+    segments = judged.filter(F.col("most") > 0).select("id", "row", "text", "codes").mapInPandas(cut, "key long, doc long, row long, at long, body binary")
+    runs = _shards(segments, width).groupBy("doc", F.col("row").alias("of")).agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    done = judged.join(runs, (F.col("id") == F.col("doc")) & (F.col("row") == F.col("of")), "left").select("id", "text", "codes", "runs").mapInPandas(finish, schema)
+    return done.withColumn("id", F.when(F.col("id") < LAST, F.col("id"))).withColumnRenamed("id", id_col)
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> list[list[int]]:

@@ -62,3 +62,18 @@ def test_suffix_array_and_prefixes(letters):
         assert (lcp[i] >= 50) == (want >= 50)
         if 0 not in letters:
             assert lcp[i] == want
+
+
+def test_null_ids_each_have_their_place(spark):
+    """Rows without an id don't remove each other's bytes, however many there are, and ids of another type are refused."""
+    import pytest
+
+    from llm import suffix_dedup
+    from tests.llm.conftest import SCHEMA, prose
+    from tests.llm.plain import brute_dedup
+
+    data = [(None, prose(k % 7, 40), "en", "s") for k in range(40)] + [(5, prose(3, 40), "en", "s"), (6, prose(4, 30) + " " + prose(3, 40), "en", "s"), (6, prose(4, 30), "en", "s")]
+    got = suffix_dedup.dedup(spark.createDataFrame(data, SCHEMA).repartition(6)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_dedup(data)))
+    with pytest.raises(TypeError):
+        suffix_dedup.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
