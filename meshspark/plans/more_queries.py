@@ -247,7 +247,7 @@ def merged_nearest(spark, sf):
     s = None
     for r in p.select("label").distinct().orderBy("label").collect():  # labels are few
         block = p.filter(F.col("label").eqNullSafe(F.lit(r["label"])))
-        found = spatial.knn(q, block, 3, 0.1).select("q", "id", F.lit(r["label"]).alias("block"), "d2")
+        found = spatial.knn(q, block, 3, 1.0).select("q", "id", F.lit(r["label"]).alias("block"), "d2")
         s = found if s is None else s.unionByName(found)
     return surface.merged_nearest(s, 3).select("q", "rank", "id", r6("d2", "d2"))
 
