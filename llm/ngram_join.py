@@ -11,8 +11,9 @@ Equal sets are one set with several documents. The steps:
    members and shingles.
 4. The token-group matrix (shingle, group) gives the pairs of groups that share a leading shingle and whose ranges of
    sizes allow a link.
-5. For such a pair the union of each group's shingles bounds how much a set of the other group can share with any member;
-   only sets that pass are opened and compared, all at once, as a product of 0/1 matrices over common shingles.
+5. Each group's token union is stored. For such a pair the union of one bounds how much a set of the other can share with any
+   of its members; only sets that pass are opened, travel, and are compared, all at once, as a product of 0/1 matrices over
+   common shingles, after the same bound from the other side.
 6. Links are joined into components by alternating large-star and small-star rounds.
 
 No step holds all documents of a group of copies, and nothing that grows with the corpus comes to the driver: the sketch
@@ -270,6 +271,45 @@ def compare(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> tup
     return open_a[i], open_b[j]
 
 
+def _unions(groups: DataFrame) -> DataFrame:
+    """groups(g, m) with `tokens`, the union of the members' shingles by their upper halves, and `least`, the smallest size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens, least = [], []
+            for ms in batch["m"]:
+                sets = [np.frombuffer(m["body"], np.uint64) for m in ms]
+                tokens.append(np.unique((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)).tobytes())
+                least.append(min(map(len, sets)))
+            yield pd.DataFrame({"g": batch["g"], "m": batch["m"], "tokens": tokens, "least": least})
+
+    return groups.mapInPandas(thrifty(run), "g long, m array<struct<sid:long,copies:long,body:binary>>, tokens binary, least long")
+
+
+def _qualified(asked: DataFrame, num: int, den: int) -> DataFrame:
+    """(g2, sid, copies, body): members of a group that may link with some set of another, by the union of that.
+
+    What a set shares with the union bounds what it shares with any member; halves of shingles only make it greater.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for us, ms in zip(batch["u"], batch["m"], strict=True):
+                sets = [np.frombuffer(m["body"], np.uint64) for m in ms]
+                size = np.array([len(x) for x in sets])
+                flat, own = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), np.repeat(np.arange(len(sets)), size)
+                for u in us:
+                    union = np.frombuffer(u["tokens"], np.uint32)
+                    at = np.searchsorted(union, flat)
+                    at[at == len(union)] = 0
+                    shared = np.bincount(own[union[at] == flat], minlength=len(sets))
+                    hit = np.flatnonzero(den * shared >= num * np.maximum(size, u["least"])).tolist()
+                    if hit:
+                        yield pd.DataFrame({"g2": u["g2"], "sid": [ms[i]["sid"] for i in hit], "copies": [ms[i]["copies"] for i in hit], "body": [ms[i]["body"] for i in hit]})
+
+    return asked.mapInPandas(thrifty(run), "g2 long, sid long, copies long, body binary")
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least place reachable from each of n places by the links i, j."""
     root = np.arange(n)
@@ -358,20 +398,23 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 5, t
     one, two = matrix.alias("x"), matrix.alias("y")
     # The group of fewer shingles is the one that travels.
     near = one.join(two, F.expr(f"x.tok = y.tok and (x.w, x.g) < (y.w, y.g) and {den} * x.high >= {num} * y.low and {den} * y.high >= {num} * x.low"))
-    near = work_table(near.select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2"), F.col("x.w").alias("w1")).distinct(), "pairs")
+    near = work_table(near.select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2"), F.col("y.w").alias("w2")).distinct(), "pairs")
     alone = grouped.groupBy("g").count().filter("count > 1").select("g")
 
     # Groups that meet no other and have one member have nothing to compare.
     met = near.select(F.explode(F.array("g1", "g2")).alias("g")).union(alone).distinct()
     wanted = grouped.join(met, "g", "left_semi").select("sid", "g")
     full = _open_sets(texts, wanted.select("sid"), width).join(wanted, "sid").join(sets.select("sid", "copies"), "sid")
-    full = work_table(full.groupBy("g").agg(F.collect_list(F.struct("sid", "copies", "body")).alias("m")), "members")
-
-    # All groups that travel to one are compared together, in parts of bounded size.
-    parts = near.groupBy("g2").agg(F.ceil(F.sum("w1") / GROUP_TOKENS).alias("parts"))
-    sent = near.join(parts, "g2").select("g1", "g2", F.pmod(F.xxhash64("g1"), "parts").alias("part"))
-    sent = sent.join(full.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1").select("g2", "part", "m1").repartition(partitions(docs.sparkSession), "g2")
-    sent = sent.groupBy("g2", "part").agg(F.flatten(F.collect_list("m1")).alias("m1"))
+    full = work_table(_unions(full.groupBy("g").agg(F.collect_list(F.struct("sid", "copies", "body")).alias("m"))), "members")
+
+    # A group's union travels to the smaller group of a pair, in parts of bounded size; only sets that pass its bound are
+    # opened and go on to the other group.
+    ask = near.join(full.select(F.col("g").alias("g2"), "tokens", "least"), "g2")
+    parts = near.groupBy("g1").agg(F.ceil(F.sum("w2") / GROUP_TOKENS).alias("parts"))
+    ask = ask.join(parts, "g1").groupBy("g1", F.pmod(F.xxhash64("g2"), "parts").alias("part")).agg(F.collect_list(F.struct("g2", "tokens", "least")).alias("u"))
+    opened = work_table(_qualified(ask.join(full.select(F.col("g").alias("g1"), "m"), "g1").select("u", "m"), num, den), "opened")
+    parts = opened.groupBy("g2").agg(F.ceil(F.sum(F.length("body") / 8) / GROUP_TOKENS).alias("parts"))
+    sent = opened.join(parts, "g2").groupBy("g2", F.pmod(F.xxhash64("sid"), "parts").alias("part")).agg(F.collect_list(F.struct("sid", "copies", "body")).alias("m1"))
     across = sent.join(full.select(F.col("g").alias("g2"), F.col("m").alias("m2")), "g2").select(F.lit(False).alias("same"), "m1", "m2")
     inside = full.join(alone, "g", "left_semi").select(F.lit(True).alias("same"), F.col("m").alias("m1"), F.array().cast(full.schema["m"].dataType).alias("m2"))
     found = work_table(_link(across.union(inside), num, den), "links")
