@@ -464,7 +464,7 @@ def dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 50,
                 a = Anchors([raw[i] for i in has], width) if has else None
                 edge = np.searchsorted(a.text, np.arange(len(has) + 1)) if has else None
                 where = {i: k for k, i in enumerate(has)}
-                for i, (ident, codes, runs) in enumerate(zip(sub["id"], sub["codes"], sub["runs"], strict=True)):
+                for i, (ident, own, codes, runs) in enumerate(zip(sub["id"], sub["row"], sub["codes"], sub["runs"], strict=True)):
                     t = raw[i]
                     begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                     if i in where:
@@ -474,7 +474,7 @@ def dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 50,
                         begins.append((a.begin[s] - a.offset[where[i]])[full])
                         ends.append((a.end[s] - a.offset[where[i]])[full])
                     if runs is not None and len(runs):
-                        flat = np.array([(r["begin"], r["end"]) for r in runs], np.int64)
+                        flat = np.array([(r["begin"], r["end"]) for r in runs if r["row"] == own], np.int64).reshape(-1, 2)
                         begins.append(flat[:, 0])
                         ends.append(flat[:, 1])
                     spans = _union(np.concatenate(begins), np.concatenate(ends))
@@ -493,8 +493,8 @@ def dedup(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 50,
 
     judged = texts.join(codes, F.col("id") == F.col("doc"), "left").select("id", "row", "text", "codes", "most")
     segments = judged.filter(F.col("most") > 0).select("id", "row", "text", "codes").mapInPandas(cut, "key long, doc long, row long, at long, body binary")
-    runs = _shards(segments, width).groupBy("doc", F.col("row").alias("of")).agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    done = judged.join(runs, (F.col("id") == F.col("doc")) & (F.col("row") == F.col("of")), "left").select("id", "text", "codes", "runs").mapInPandas(finish, schema)
+    runs = _shards(segments, width).groupBy("doc").agg(F.collect_list(F.struct("row", "begin", "end")).alias("runs"))
+    done = judged.join(runs, F.col("id") == F.col("doc"), "left").select("id", "row", "text", "codes", "runs").mapInPandas(finish, schema)
     return done.withColumn("id", F.when(F.col("id") < LAST, F.col("id"))).withColumnRenamed("id", id_col)
 
 
