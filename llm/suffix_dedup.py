@@ -58,7 +58,11 @@ def rank(doc: np.ndarray) -> np.ndarray:
 
 def codes_of(key: np.ndarray, mark: np.ndarray, bits: int) -> np.ndarray:
     """61 bits of a segment's anchor and mark, by which a document is told what becomes of it."""
-    return (mix(((key >> np.uint64(bits)) & _LOW48) * _PLACES[0] ^ mark * _PLACES[1]) >> np.uint64(3)).astype(np.int64)
+    code = (key >> np.uint64(bits)) & _LOW48  # both are well mixed already
+    code *= _PLACES[0]
+    code += mark * _PLACES[1]
+    code >>= np.uint64(3)
+    return code.view(np.int64)
 
 
 class Anchors:
