@@ -191,6 +191,24 @@ def dequantize(q: Column, low, span, bits: int) -> Column:
     return low + q * span / ((1 << bits) - 2)
 
 
+def apex(p: Vec, n: Vec, one: Column, q: Vec, m: Vec, two: Column) -> tuple[Vec, Vec]:
+    """The point at distance one from p and two from q on the left of p to q, seen against the mean of the normals n and m,
+    and that mean as a unit vector; nulls where the three lengths make no triangle."""
+    side = sub(q, p)
+    length = norm(side)
+    up = add(n, m)
+    up = scale(up, 1 / norm(up))
+    along = scale(side, 1 / length)
+    across = cross(up, along)
+    across = scale(across, 1 / norm(across))
+    foot = F.greatest(F.lit(0.0), F.least(length, (length * length + one * one - two * two) / (2 * length)))
+    rest = one * one - foot * foot
+    fits = (length <= one + two) & (one <= length + two) & (two <= length + one) & (rest >= 0)
+    at = add(add(p, scale(along, foot)), scale(across, F.sqrt(F.greatest(F.lit(0.0), rest))))
+    only = lambda v: tuple(F.when(fits, c) for c in v)
+    return only(at), only(up)
+
+
 def ideal_length(curvature: Column, rho: float) -> Column:
     """Edge length whose arc turns by rho on a circle of that curvature."""
     return 2 * F.sin(F.lit(rho / 2)) / F.abs(curvature)

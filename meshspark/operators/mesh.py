@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshspark.functions import geometry as g
+from meshspark.operators.graph import components
+from meshspark.operators.order import running
 
 A, B, C = g.Corner("a"), g.Corner("b"), g.Corner("c")
 
@@ -94,6 +96,36 @@ def kinks(crease: DataFrame, least: int = 2) -> DataFrame:
     return ends.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > least)
 
 
+def crease_curves(crease: DataFrame, least: int = 20) -> DataFrame:
+    """curve, a, b: crease edges as curves that end at kinks, those of fewer than `least` edges left out.
+
+    Ends of edges are points of their own at a kink and shared elsewhere, so a curve is a component; its least edge names it.
+    """
+    edge = crease.select("a", "b", F.struct("a", "b").alias("e"))
+    ends = edge.select("e", F.explode(F.array("a", "b")).alias("v"))
+    inner = ends.join(kinks(crease).select("v"), "v", "left_anti")
+    # At most two edges meet at what is left.
+    links = inner.groupBy("v").agg(F.min("e").alias("a"), F.max("e").alias("b")).select("a", "b")
+    alone = edge.select(F.col("e").alias("a"), F.col("e").alias("b"))
+    named = components(links.union(alone)).select(F.col("v").alias("e"), F.col("root").alias("curve"))
+    large = named.groupBy("curve").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return named.join(large, "curve").select(F.col("curve.a").alias("curve_a"), F.col("curve.b").alias("curve_b"), "e.a", "e.b", "n")
+
+
+def finalized(faces: DataFrame) -> DataFrame:
+    """v, done, peak: the face after which no edge of the vertex is on the front, and its greatest number of front edges.
+
+    Faces arrive in the order of f. An edge comes to the front with its first face and leaves it with its second; done is
+    null for vertices that keep an edge on it, such as those of the border.
+    """
+    h = halfedges(faces).select("f", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    use = h.withColumn("k", F.row_number().over(Window.partitionBy("p", "q").orderBy("f")))
+    step = use.select("f", F.explode(F.array("p", "q")).alias("v"), F.when(F.col("k") % 2 == 1, 1).otherwise(-1).alias("d"))
+    net = step.groupBy("v", "f").agg(F.sum("d").alias("d"))
+    live = net.withColumn("live", F.sum("d").over(Window.partitionBy("v").orderBy("f")))
+    return live.groupBy("v").agg(F.min(F.when(F.col("live") == 0, F.col("f"))).alias("done"), F.max("live").alias("peak"))
+
+
 def quality(tris: DataFrame) -> DataFrame:
     """f, circumradius, inradius, q = 2 r / R: 1 for an equilateral triangle."""
     big, small = g.circumradius(A, B, C), g.inradius(A, B, C)
@@ -184,8 +216,8 @@ def subdivide(faces: DataFrame, verts: DataFrame) -> tuple[DataFrame, DataFrame]
     edge = edge.join(xyz.select(F.col("v").alias("p"), *[F.col(c).alias("p" + c) for c in "xyz"]), "p").join(xyz.select(F.col("v").alias("q"), *[F.col(c).alias("q" + c) for c in "xyz"]), "q")
     mid = [F.when(F.col("nbr") < 0, (F.col("p" + c) + F.col("q" + c)) / 2).otherwise((F.col("p" + c) + F.col("q" + c)) * 0.375 + F.col("w" + c) * 0.125).alias(c) for c in "xyz"]
     top = verts.agg((F.max("v") + 1).alias("top"))
-    place = F.row_number().over(Window.orderBy("p", "q")) - 1
-    new = edge.crossJoin(F.broadcast(top)).select("p", "q", (F.col("top") + place).cast("int").alias("v"), *mid)
+    edge = running(edge, ["p", "q"])
+    new = edge.crossJoin(F.broadcast(top)).select("p", "q", (F.col("top") + F.col("place")).cast("int").alias("v"), *mid)  # top: one row
 
     ring = one_ring(faces).join(xyz.withColumnRenamed("v", "nbr"), "nbr")
     border = border_vertices(faces).withColumn("border", F.lit(True))
@@ -221,9 +253,9 @@ def flip(faces: DataFrame) -> DataFrame:
 
 
 def front_width(events: DataFrame) -> DataFrame:
-    """One row: the peak number of live vertices of an event list with kinds v and x."""
+    """One row: the peak number of live vertices of an event list with kinds v and x. Every event has a seq of its own."""
     d = events.filter("kind in ('v', 'x')").select("seq", F.when(F.col("kind") == "v", 1).otherwise(-1).alias("d"))
-    live = d.withColumn("live", F.sum("d").over(Window.orderBy("seq")))
+    live = running(d, ["seq"], "d", "live")
     return live.agg(F.max("live").alias("width"))
 
 
@@ -236,7 +268,7 @@ def compact(faces: DataFrame) -> DataFrame:
     """v, new: vertices numbered by first use, within a face by its order."""
     use = faces.select("f", F.posexplode(F.array("v0", "v1", "v2")).alias("i", "v"))
     first = use.groupBy("v").agg(F.min(F.col("f") * 3 + F.col("i")).alias("at"))
-    return first.select("v", (F.row_number().over(Window.orderBy("at")) - 1).alias("new"))
+    return running(first, ["at"], name="new").select("v", F.col("new").cast("int").alias("new"))
 
 
 def edge_length_means(tris: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshspark.functions import geometry as g
 from meshspark.functions import scalars as sc
+from meshspark.operators.linear import symmetric_eigen
 
 
 def coded(points: DataFrame, low: tuple, side: float, depth: int) -> DataFrame:
@@ -49,6 +50,24 @@ def solidity(leaf: DataFrame) -> DataFrame:
     return leaf.crossJoin(F.broadcast(top)).select("depth", "code", (F.col("n") / F.col("top")).alias("solidity"))  # top: one row
 
 
+def frames(points: DataFrame, least: int = 4) -> DataFrame:
+    """m, n, ox, oy, oz, values, axes: mean and principal frame of the points of each leaf (m) of at least so many.
+
+    values are variances, least first; axes are the unit vectors y, x, z in turn, y of the greatest variance, scaled by
+    their variance over the least one, y towards the origin. Six sums a leaf are all that is shuffled.
+    """
+    pairs = [(p, q) for i, p in enumerate("xyz") for q in "xyz"[i:]]
+    sums = points.groupBy("m").agg(F.count("*").alias("n"), *[F.avg(c).alias("o" + c) for c in "xyz"], *[F.covar_pop(p, q).alias("c" + p + q) for p, q in pairs])
+    full = [F.col("c" + "".join(sorted(p + q))) for p in "xyz" for q in "xyz"]
+    e = sums.filter(F.col("n") >= least).withColumn("e", symmetric_eigen(F.array(*full)))
+    low = F.col("e.values")[0]
+    column = lambda k: [F.col("e.vectors")[3 * i + k] for i in range(3)]
+    y = [F.col("e.values")[2] / low * c for c in column(2)]
+    away = sum((c * F.col("o" + k) for c, k in zip(y, "xyz", strict=True)), F.lit(0.0)) > 0
+    axes = F.array(*[F.when(away, -c).otherwise(c) for c in y], *[F.col("e.values")[1] / low * c for c in column(1)], *column(0))
+    return e.select("m", "n", "ox", "oy", "oz", F.col("e.values").alias("values"), F.when(low > 0, axes).alias("axes"))
+
+
 def neighbours(nodes: DataFrame, depth: int) -> DataFrame:
     """code, axis, side, nbr: the node of the same depth across each face, where it exists."""
     n = 1 << depth
@@ -68,13 +87,11 @@ def pick(tris: DataFrame, origin: tuple, direction: tuple) -> DataFrame:
 def visible_first(leaf: DataFrame, start: int, depth: int, budget: int) -> DataFrame:
     """code, layer, seen: leaves of one depth in layers of neighbours from a start, the least solid of a layer first, until
     their members reach the budget."""
-    from pyspark.sql import Window
-
     from meshspark.operators.graph import hops
+    from meshspark.operators.order import running
 
     edges = neighbours(leaf, depth).select(F.col("code").alias("a"), F.col("nbr").alias("b"))
     seed = leaf.filter(F.col("code") == start).select(F.col("code").alias("v"))
     layers = hops(edges, seed, 3 << depth)
     order = layers.join(leaf.select(F.col("code").alias("v"), "n"), "v")
-    run = F.sum("n").over(Window.orderBy("hop", "n", "v"))
-    return order.withColumn("seen", run).filter(F.col("seen") - F.col("n") < budget).select(F.col("v").alias("code"), F.col("hop").alias("layer"), "seen")
+    return running(order, ["hop", "n", "v"], "n", "seen").filter(F.col("seen") - F.col("n") < budget).select(F.col("v").alias("code"), F.col("hop").alias("layer"), "seen")

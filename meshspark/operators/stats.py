@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshspark.operators.order import running
+
 
 def upper_median(c) -> Column:
     """The element at n / 2 of the sorted values: the greater of the two middle ones. An aggregate."""
@@ -15,8 +17,7 @@ def exact_upper_median(df: DataFrame, column: str) -> DataFrame:
     """median of a whole column, without gathering it: rank by running counts over distinct values."""
     n = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
-    run = n.withColumn("upto", F.sum("n").over(Window.orderBy(column)))  # one row a distinct value
-    return run.crossJoin(total).filter("upto > floor(total / 2)").agg(F.min(column).alias("median"))
+    return running(n, [column], "n", "upto").crossJoin(F.broadcast(total)).filter("upto > floor(total / 2)").agg(F.min(column).alias("median"))
 
 
 def mean(c, dof: int = 0) -> Column:

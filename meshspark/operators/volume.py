@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshspark.functions import geometry as g
+
 
 def offsets(low: int, high: int) -> F.Column:
     """All steps (dx, dy, dz) from low to high as an array of structs."""
@@ -61,6 +63,19 @@ def crossings(vox: DataFrame, iso: float) -> DataFrame:
     return out
 
 
+def sweep(crossed: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """crossed edges (x, y, z, axis) with first and last: Morton codes of the first and last cell, in that order, at each.
+
+    Visited in Morton order, cells may make an edge's vertex at its first cell and finalize it at its last. Codes grow with
+    every coordinate, so these are the cells of least and greatest coordinates across the axis.
+    """
+    at = {k: F.col(c) for k, c in enumerate("xyz")}
+    low = [F.when(F.col("axis") == k, at[k]).otherwise(F.greatest(at[k] - 1, F.lit(0))) for k in range(3)]
+    high = [F.when(F.col("axis") == k, at[k]).otherwise(F.least(at[k], F.lit(dims[k] - 2))) for k in range(3)]
+    bits = max(dims).bit_length()
+    return crossed.withColumns({"first": g.morton(*low, bits), "last": g.morton(*high, bits)})
+
+
 def spline_weights(t: float, kind: str = "catmull") -> list[float]:
     """Weights of the four neighbours at -1, 0, 1, 2 for a place t between 0 and 1."""
     if kind == "catmull":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshspark.operators.order import running
+
 
 def _number(c: str):
     return F.col(c).cast("string")
@@ -81,12 +83,10 @@ def write_lengths(lengths: DataFrame, path: str) -> None:
 def write_flf(points: DataFrame, loops: DataFrame, path: str) -> None:
     """points(id, x, y, z, is_corner) and loops(loop, pos, id, nx, ny, nz): counts, points with corner flags, and each loop's
     members as `index nx ny nz`."""
-    from pyspark.sql import Window
-
     spark = points.sparkSession
-    order = points.select("id", F.row_number().over(Window.orderBy("id")).alias("k"))
+    order = running(points.select("id"), ["id"], name="k")
     flat = points.select(F.col("id").alias("k"), F.concat_ws(" ", *[_number(c) for c in "xyz"], F.col("is_corner").cast("int").cast("string")).alias("line"))
-    line = F.concat_ws(" ", (F.col("k") - 1).cast("string"), *[_number("n" + c) for c in "xyz"])
+    line = F.concat_ws(" ", F.col("k").cast("string"), *[_number("n" + c) for c in "xyz"])
     rows = loops.join(order, "id").groupBy("loop").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("m"))
     body = rows.select(F.col("loop").alias("k"), F.concat_ws("\n", F.size("m").cast("string"), F.array_join("m.line", "\n")).alias("line"))
     counts = [spark.createDataFrame([(0, str(n))], "k long, line string") for n in (points.count(), rows.count())]
@@ -98,9 +98,7 @@ def write_stream(events: DataFrame, path: str) -> None:
 
     Vertices are numbered by their events.
     """
-    from pyspark.sql import Window
-
-    ids = events.filter("kind = 'v'").select("v", F.row_number().over(Window.orderBy("seq")).alias("new"))
+    ids = running(events.filter("kind = 'v'").select("v", "seq"), ["seq"]).select("v", (F.col("place") + 1).alias("new"))
     e = events
     for c in ("t0", "t1", "t2"):
         e = e.join(ids.select(F.col("v").alias(c), F.col("new").alias("n" + c)), c, "left")
