@@ -255,7 +255,7 @@ def flip(faces: DataFrame) -> DataFrame:
 def front_width(events: DataFrame) -> DataFrame:
     """One row: the peak number of live vertices of an event list with kinds v and x. Every event has a seq of its own."""
     d = events.filter("kind in ('v', 'x')").select("seq", F.when(F.col("kind") == "v", 1).otherwise(-1).alias("d"))
-    live = running(d, ["seq"], "d", "live")
+    live = running(d, ["seq"], {"live": "d"})
     return live.agg(F.max("live").alias("width"))
 
 
@@ -268,7 +268,7 @@ def compact(faces: DataFrame) -> DataFrame:
     """v, new: vertices numbered by first use, within a face by its order."""
     use = faces.select("f", F.posexplode(F.array("v0", "v1", "v2")).alias("i", "v"))
     first = use.groupBy("v").agg(F.min(F.col("f") * 3 + F.col("i")).alias("at"))
-    return running(first, ["at"], name="new").select("v", F.col("new").cast("int").alias("new"))
+    return running(first, ["at"], {"new": None}).select("v", F.col("new").cast("int").alias("new"))
 
 
 def edge_length_means(tris: DataFrame) -> DataFrame:

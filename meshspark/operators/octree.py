@@ -94,4 +94,4 @@ def visible_first(leaf: DataFrame, start: int, depth: int, budget: int) -> DataF
     seed = leaf.filter(F.col("code") == start).select(F.col("code").alias("v"))
     layers = hops(edges, seed, 3 << depth)
     order = layers.join(leaf.select(F.col("code").alias("v"), "n"), "v")
-    return running(order, ["hop", "n", "v"], "n", "seen").filter(F.col("seen") - F.col("n") < budget).select(F.col("v").alias("code"), F.col("hop").alias("layer"), "seen")
+    return running(order, ["hop", "n", "v"], {"seen": "n"}).filter(F.col("seen") - F.col("n") < budget).select(F.col("v").alias("code"), F.col("hop").alias("layer"), "seen")

@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from meshspark.operators.graph import settled
 
-_RANGE, _PLACE = "_range", "_place"
+_RANGE, _PLACE, _BEFORE = "_range", "_place", "_before_"
 
 
-def running(df: DataFrame, by: list[str], value: str | None = None, name: str = "place") -> DataFrame:
-    """df with the sum of a whole-number column over all rows up to each, or with each row's place from 0 if none is named.
+def running(df: DataFrame, by: list[str], sums: dict[str, str | None] | None = None) -> DataFrame:
+    """df with, for each name: column of whole numbers, the sum of that column over all rows up to each; None gives a row's
+    place from 0.
 
-    Columns `by` should tell rows apart; rows that they don't tell apart come in any one order.
+    Without sums it is `place`. Columns `by` should tell rows apart; rows that they don't tell apart come in any one order.
     """
+    sums = {"place": None} if sums is None else sums
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(_PLACE, F.monotonically_increasing_id())
     dealt = settled(dealt.withColumn(_RANGE, F.shiftright(_PLACE, 33)))
-    one = F.lit(1) if value is None else F.col(value)
-    sums = dealt.groupBy(_RANGE).agg(F.sum(one).alias("_sum"))
-    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(_RANGE, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    value = {k: F.lit(1) if c is None else F.col(c) for k, c in sums.items()}
+    totals = dealt.groupBy(_RANGE).agg(*[F.sum(c).alias(k) for k, c in value.items()])
+    earlier = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col(_RANGE), *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(_BEFORE + k) for k in sums])
     within = Window.partitionBy(_RANGE).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_before") + F.sum(one).over(within)
     out = dealt.join(F.broadcast(before), _RANGE)  # a row a partition
-    return out.withColumn(name, upto - 1 if value is None else upto).drop(_RANGE, _PLACE, "_before")
+    upto = {k: F.col(_BEFORE + k) + F.sum(c).over(within) - (1 if sums[k] is None else 0) for k, c in value.items()}
+    return out.withColumns(upto).drop(_RANGE, _PLACE, *[_BEFORE + k for k in sums])

@@ -17,7 +17,7 @@ def exact_upper_median(df: DataFrame, column: str) -> DataFrame:
     """median of a whole column, without gathering it: rank by running counts over distinct values."""
     n = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
-    return running(n, [column], "n", "upto").crossJoin(F.broadcast(total)).filter("upto > floor(total / 2)").agg(F.min(column).alias("median"))
+    return running(n, [column], {"upto": "n"}).crossJoin(F.broadcast(total)).filter("upto > floor(total / 2)").agg(F.min(column).alias("median"))
 
 
 def mean(c, dof: int = 0) -> Column:

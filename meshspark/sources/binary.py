@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshspark.sources.files import contents
@@ -215,7 +215,7 @@ def range_points(rtpi: DataFrame) -> DataFrame:
 
 def read_vtk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """`POINTS n ..` and `CELLS m ..`: verts(v, x, y, z) and faces(f, v0, v1, v2), one record a line."""
-    rows = _numbered(spark, path, comments=False).withColumn("k", F.row_number().over(Window.orderBy("n")))
+    rows = _numbered(spark, path, comments=False).withColumn("k", F.col("k") + 1)
     heads = {r["w"][0]: (r["k"], int(r["w"][1])) for r in rows.filter("w[0] in ('POINTS', 'CELLS')").collect()}
     (p, n), (c, m) = heads["POINTS"], heads["CELLS"]
     v = rows.filter(f"k > {p} and k <= {p + n}").select((F.col("k") - p - 1).alias("v"), *[_double(i, x) for i, x in enumerate(XYZ)])
@@ -225,9 +225,9 @@ def read_vtk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_node_ele(spark: SparkSession, node: str, ele: str) -> tuple[DataFrame, DataFrame]:
     """A `.node` and an `.ele` file: verts(v, x, y, z) (z 0 in the plane) and faces(f, v0, v1, v2), numbered from 0."""
-    a = _numbered(spark, node).withColumn("k", F.row_number().over(Window.orderBy("n")))
+    a = _numbered(spark, node).withColumn("k", F.col("k") + 1)
     head = [int(x) for x in a.filter("k = 1").first()["w"][:3]]
-    b = _numbered(spark, ele).withColumn("k", F.row_number().over(Window.orderBy("n")))
+    b = _numbered(spark, ele).withColumn("k", F.col("k") + 1)
     n = int(b.filter("k = 1").first()["w"][0])
     first = int(a.filter("k = 2").first()["w"][0])
     z = _double(3, "z") if head[1] > 2 else F.lit(0.0).alias("z")

@@ -84,7 +84,7 @@ def write_flf(points: DataFrame, loops: DataFrame, path: str) -> None:
     """points(id, x, y, z, is_corner) and loops(loop, pos, id, nx, ny, nz): counts, points with corner flags, and each loop's
     members as `index nx ny nz`."""
     spark = points.sparkSession
-    order = running(points.select("id"), ["id"], name="k")
+    order = running(points.select("id"), ["id"], {"k": None})
     flat = points.select(F.col("id").alias("k"), F.concat_ws(" ", *[_number(c) for c in "xyz"], F.col("is_corner").cast("int").cast("string")).alias("line"))
     line = F.concat_ws(" ", F.col("k").cast("string"), *[_number("n" + c) for c in "xyz"])
     rows = loops.join(order, "id").groupBy("loop").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("m"))
