@@ -2,7 +2,7 @@
 
 A distance predicate alone would be a nested-loop join. Here each side gets the integer cell of its point, one side is
 copied to the 27 cells around its own (or a box to the cells it covers), and the equi-join on cells is followed by the exact
-predicate. Joins are complete for distances up to the cell's side; kNN doubles the cell until every query is closed.
+predicate. Joins are complete for distances up to the cell's side. kNN goes by the blocks of a k-d tree.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshspark.functions import geometry as g
+from meshspark.operators import blocks
 from meshspark.operators.graph import settled
 
 
@@ -34,38 +35,24 @@ def within(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     return near.filter(F.col("d2") <= radius * radius)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, side: float, rounds: int = 40) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, side: float | None = None) -> DataFrame:
     """q, rank, id, d2: the k nearest points of each query, ties by least id; fewer if there are fewer points.
 
-    A query is closed when k points lie within the side of its cell, which its 27 cells cover; open ones go on with a
-    doubled cell. The last round, when the cell covers everything, closes all.
+    Searched block by block (`blocks`), so neither distribution nor copies make more pairs; `side` is not needed any more.
     """
-    box = points.agg(*[f(c).alias(n + c) for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    qbox = queries.agg(*[f(c).alias(n + c) for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    if box["lox"] is None or qbox["lox"] is None:
-        return queries.select("q").limit(0).select("q", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d2"))
-    extent = sum((max(box["hi" + c], qbox["hi" + c]) - min(box["lo" + c], qbox["lo" + c])) ** 2 for c in "xyz") ** 0.5
-    done, left = None, queries.select("q", "x", "y", "z")
+    found = blocks.nearest_in_blocks(queries, points, k, settled)
     w = Window.partitionBy("q").orderBy("d2", "id")
-    for _ in range(rounds):
-        last = side > extent
-        # Read three times, and the next round stands on it.
-        found = settled(within(left, points, side).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-        if last:
-            out = found
-        else:
-            full = found.groupBy("q").agg(F.max("rank").alias("n")).filter(F.col("n") == k).select("q")
-            out = found.join(full, "q", "left_semi")
-            left = settled(left.join(full, "q", "left_anti"))
-        out = out.select("q", "rank", "id", "d2")
-        done = out if done is None else done.unionByName(out)
-        if last or not left.take(1):
-            break
-        side *= 2
-    return done
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "rank", "id", "d2")
+
+
+def knn_by(queries: DataFrame, points: DataFrame, k: int, by: str) -> DataFrame:
+    """q, block, id, d2: for each query the k nearest points of each value of `by`, the values numbered as block."""
+    found = blocks.nearest_in_blocks(queries, points, k, settled, by)
+    w = Window.partitionBy("q", "part").orderBy("d2", "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", F.col("part").alias("block"), "id", "d2")
 
 
-def nearest(queries: DataFrame, points: DataFrame, side: float) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, side: float | None = None) -> DataFrame:
     """q, id, d2: the nearest point, of several the one of least id."""
     return knn(queries, points, 1, side).select("q", "id", "d2")
 
