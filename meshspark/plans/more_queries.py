@@ -239,16 +239,12 @@ def iso_seeds(spark, sf):
 
 @query("WITH d AS (SELECT q.id AS q, p.id AS id, p.label, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS d2 FROM pts q, pts p), r AS (SELECT q, id, d2, CAST(row_number() OVER (PARTITION BY q ORDER BY d2, id) AS INT) AS rank FROM d) SELECT q, rank, id, round(d2, 6) + 0e0 AS d2 FROM r WHERE rank <= 3", "pts")
 def merged_nearest(spark, sf):
-    """Nearest points of every point merged from block-wise streams, each block searched by growing cells"""
+    """Nearest points of every point merged from block-wise streams, each block searched by the blocks of a k-d tree"""
     from meshspark.operators import spatial
 
     p = fx.pts(spark, sf)
     q = p.select(F.col("id").alias("q"), "x", "y", "z")
-    s = None
-    for r in p.select("label").distinct().orderBy("label").collect():  # labels are few
-        block = p.filter(F.col("label").eqNullSafe(F.lit(r["label"])))
-        found = spatial.knn(q, block, 3, 1.0).select("q", "id", F.lit(r["label"]).alias("block"), "d2")
-        s = found if s is None else s.unionByName(found)
+    s = spatial.knn_by(q, p, 3, "label")
     return surface.merged_nearest(s, 3).select("q", "rank", "id", r6("d2", "d2"))
 
 

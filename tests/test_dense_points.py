@@ -102,3 +102,11 @@ def test_step_lengths(spark, dense, parts):
     for i in some:
         s = (0.2 * np.sqrt(squares(at, at[i])) + 0.8 * (1 + ids % 97 / 10)).min()
         assert rows.loc[ids[i], "step"] == pytest.approx(min(max(s, 0.5), 4), abs=1e-6)
+
+
+def test_merged_nearest(spark, dense):
+    ids, at, some = places(fx.pts(spark, dense))
+    rows = got("merged_nearest", spark, dense, ["q", "rank"])
+    assert len(rows) == 3 * VECTORS
+    for i in some:
+        assert [rows.loc[(ids[i], r), "id"] for r in range(1, 4)] == nearest(ids, at, at[i], 3)[0]
